@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from alidade.llm import mixing, quality, sharding
+from alidade.llm import bpe, fingerprints, licences, mixing, pieces, quality, secrets, sharding
 
 MODULES = {
+    "op1_licence_scan": licences,
     "op2_proportional_sharding": sharding,
+    "op3_secret_scan": secrets,
+    "op4_token_counts": bpe,
+    "op7_sentencepiece": pieces,
+    "op8_fingerprints": fingerprints,
     "op9_quality_rules": quality,
     "op10_source_mixing": mixing,
 }
