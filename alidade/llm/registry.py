@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from alidade.llm import bpe, fingerprints, licences, mixing, ngram_join, pieces, quality, secrets, sharding
+from alidade.llm import bpe, fingerprints, licences, line_dedup, mixing, ngram_join, pieces, quality, secrets, sharding
 
 MODULES = {
     "op1_licence_scan": licences,
     "op2_proportional_sharding": sharding,
     "op3_secret_scan": secrets,
     "op4_token_counts": bpe,
+    "op5_line_dedup": line_dedup,
     "op6_ngram_jaccard_join": ngram_join,
     "op7_sentencepiece": pieces,
     "op8_fingerprints": fingerprints,
