@@ -347,10 +347,10 @@ def _t19(spark, d):
     return grids.centred(x.lattice_points(spark, d))
 
 
-_DEL = """a AS (SELECT p.seq AS a, q.seq AS b, r.seq AS c, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by, r.x AS cx, r.y AS cy FROM s p JOIN s q ON p.seq<q.seq JOIN s r ON q.seq<r.seq),
-cc AS (SELECT *, 2*(ax*(by-cy)+bx*(cy-ay)+cx*(ay-by)) AS dd FROM a),
-u AS (SELECT *, ((ax*ax+ay*ay)*(by-cy)+(bx*bx+by*by)*(cy-ay)+(cx*cx+cy*cy)*(ay-by))/dd AS ux, ((ax*ax+ay*ay)*(cx-bx)+(bx*bx+by*by)*(ax-cx)+(cx*cx+cy*cy)*(bx-ax))/dd AS uy FROM cc WHERE dd<>0),
-tri AS (SELECT a, b, c, ux, uy FROM u WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq NOT IN (a,b,c) AND (t.x-ux)*(t.x-ux)+(t.y-uy)*(t.y-uy) < (ax-ux)*(ax-ux)+(ay-uy)*(ay-uy)-1e-12))"""
+_DEL = """a AS (SELECT p.seq AS a, q.seq AS b, r.seq AS c, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, r.x AS x3, r.y AS y3 FROM s p JOIN s q ON p.seq<q.seq JOIN s r ON q.seq<r.seq),
+cc AS (SELECT *, 2*(x1*(y2-y3)+x2*(y3-y1)+x3*(y1-y2)) AS dd FROM a),
+u AS (SELECT *, ((x1*x1+y1*y1)*(y2-y3)+(x2*x2+y2*y2)*(y3-y1)+(x3*x3+y3*y3)*(y1-y2))/dd AS ux, ((x1*x1+y1*y1)*(x3-x2)+(x2*x2+y2*y2)*(x1-x3)+(x3*x3+y3*y3)*(x2-x1))/dd AS uy FROM cc WHERE dd<>0),
+tri AS (SELECT a, b, c, ux, uy FROM u WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq NOT IN (a,b,c) AND (t.x-ux)*(t.x-ux)+(t.y-uy)*(t.y-uy) < (x1-ux)*(x1-ux)+(y1-uy)*(y1-uy)-1e-12))"""
 
 
 @add("t03_delaunay_small", f"WITH {CLOUD}, s AS (SELECT * FROM cloud WHERE seq < 80), {_DEL} SELECT a, b, c FROM tri")
