@@ -16,7 +16,8 @@ def numbered(rows: DataFrame, order: str, name: str = "place", cells: int = 1024
     """rows with a 0-based place in `order` (numeric, unique): numbered within slices of its range, in parallel."""
     span = rows.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
     r = rows.crossJoin(F.broadcast(span))  # one row
-    share = F.coalesce(F.try_divide((F.col(order) - F.col("__lo")).cast("double") * cells, (F.col("__hi") - F.col("__lo")).cast("double")), F.lit(0.0))
+    at, lo, hi = (F.col(c).cast("double") for c in (order, "__lo", "__hi"))  # as doubles, differences cannot overflow
+    share = F.coalesce(F.try_divide(at - lo, hi - lo) * cells, F.lit(0.0))
     r = r.withColumn("__cell", F.least(F.floor(share), F.lit(cells - 1))).drop("__lo", "__hi")
     n = r.groupBy("__cell").agg(F.count("*").alias("__n"))
     first = F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -28,7 +28,7 @@ def obj_lines(points: DataFrame, triangles: DataFrame, seq: str = "seq") -> Data
 
 def asc_rows(cells: DataFrame, nodata: str = "-9999") -> DataFrame:
     """(row, value): one text line per raster row, columns in order, NULL as NODATA."""
-    one = F.struct("col", F.coalesce(trimmed(F.col("z")), F.lit(nodata)).alias("t"))
+    one = F.struct("col", F.when(F.col("z").isNull(), nodata).otherwise(trimmed(F.col("z"))).alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda c: c["t"]), " ")
     return cells.groupBy("row").agg(joined.alias("value"))
 
