@@ -127,8 +127,8 @@ class Session:
                 continue
             try:
                 said.append(str(f(*args) or ""))
-            except (ValueError, OSError, IndexError, TypeError) as e:
-                said.append(f"{verb}: {e}")
+            except Exception as e:  # a console tells what failed and goes on
+                said.append(f"{verb}: {str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__}")
             log.info("%s: %s", verb, said[-1])
             if self.done:
                 break
