@@ -129,3 +129,28 @@ def reciprocal_sum(a: Column, b: Column) -> Column:
 def y_from_x(x: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """On the line through two points; NULL if it is vertical."""
     return y1 + (x - x1) * F.try_divide(y2 - y1, x2 - x1)
+
+
+def x_from_y(y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """On the line through two points; NULL if it is level."""
+    return x1 + (y - y1) * F.try_divide(x2 - x1, y2 - y1)
+
+
+def root_by_false_position(f, low: Column, high: Column, target: Column, steps: int = 24) -> Column:
+    """x in [low, high] with f(x) = target, for a monotone f given as Column -> Column; NULL if the ends do not bracket it.
+
+    A fixed number of Illinois steps, folded over a literal array, so the plan does not grow with the steps.
+    """
+    def g(x: Column) -> Column:
+        return f(x) - target
+
+    start = F.struct(low.alias("a"), high.alias("b"), g(low).alias("fa"), g(high).alias("fb"))
+
+    def step(s: Column, _: Column) -> Column:
+        x = F.coalesce(F.try_divide(s["a"] * s["fb"] - s["b"] * s["fa"], s["fb"] - s["fa"]), s["b"])
+        fx = g(x)
+        crossed = fx * s["fb"] < 0
+        return F.struct(F.when(crossed, s["b"]).otherwise(s["a"]).alias("a"), x.alias("b"), F.when(crossed, s["fb"]).otherwise(s["fa"] / 2).alias("fa"), fx.alias("fb"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["b"])
+    return F.when(g(low) * g(high) <= 0, found)

@@ -97,3 +97,9 @@ def inside_triangle(px: Column, py: Column) -> Column:
 
 def turn_modulo(v: Column) -> Column:
     return pmod(v, 360.0)
+
+
+def same_truncated(x1: Column, y1: Column, x2: Column, u1: Column, w1: Column, u2: Column) -> Column:
+    """Whether whole parts of three coordinates agree (a quick edge match)."""
+    whole = lambda c: c.cast("bigint")
+    return (whole(x1) == whole(u1)) & (whole(y1) == whole(w1)) & (whole(x2) == whole(u2))

@@ -331,3 +331,32 @@ class Editor:
             out.append(p | {"seq": k, "begin_sta": sta, "end_sta": sta + p["length"]})
             sta += p["length"]
         return out
+
+
+def in_sweep(px: Column, py: Column) -> Column:
+    """Whether the direction from the row's arc centre to a point lies within the arc's sweep."""
+    a0 = azimuth(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))
+    a1 = azimuth(px - F.col("cx"), py - F.col("cy"))
+    return pmod((a1 - a0) * F.col("dir"), 360.0) <= F.abs(F.col("turn"))
+
+
+def moved(segments: DataFrame, dx: float, dy: float) -> DataFrame:
+    """segments shifted by a vector."""
+    shift = {c: F.col(c) + d for d, cs in ((dx, ("x0", "x1", "cx")), (dy, ("y0", "y1", "cy"))) for c in cs}
+    return segments.withColumns(shift)
+
+
+def long_chords(segments: DataFrame) -> DataFrame:
+    """(align_id, seq, chord, chord_az): from each segment's begin to its end."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return segments.select("align_id", "seq", v.base_length(dx, dy).alias("chord"), azimuth(dx, dy).alias("chord_az"))
+
+
+def cross_sections(stations: DataFrame, segments: DataFrame, left: float, right: float) -> DataFrame:
+    """stations (align_id, sid, sta) with the ends of a section across: lx, ly at -left and rx, ry at +right."""
+    ends = None
+    for tag, off in (("l", -abs(left)), ("r", abs(right))):
+        p = station_to_xy(stations.select("align_id", "sid", "sta").withColumn("offset", F.lit(float(off))), segments)
+        p = p.select("align_id", "sid", *([] if ends is not None else ["sta"]), F.col("x").alias(f"{tag}x"), F.col("y").alias(f"{tag}y"))
+        ends = p if ends is None else ends.join(p, ["align_id", "sid"])
+    return ends

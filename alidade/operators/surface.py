@@ -234,11 +234,21 @@ def covering_boxes(queries: DataFrame, tv: DataFrame, size: float | None = None)
 
 
 def point_results(queries: DataFrame, tv: DataFrame, size: float | None = None) -> DataFrame:
-    """queries with elevation, slope_pct, aspect and compass_aspect, NULL off the surface; one location for all."""
-    hit = locate(queries, tv, size)
-    return hit.select(
-        "qid", "px", "py", "tri_id", elevation(F.col("px"), F.col("py")).alias("elevation"), slope_pct().alias("slope_pct"), aspect().alias("aspect"), compass_aspect().alias("compass_aspect")
-    )
+    """queries (qid, px, py) with tri_id, elevation, slope_pct, aspect and compass_aspect, NULL off the surface.
+
+    Slopes and aspects are worked out once per triangle; the left join on cells keeps points off the surface, so one
+    aggregation per point (borders go to the least id) is all that follows.
+    """
+    size = size or cell_size(tv)
+    cx, cy = cells(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), size)
+    corners = [f"{a}{k}" for k in (1, 2, 3) for a in "xy"]
+    t = tv.select("tri_id", *corners, "z1", "nx", "ny", "nz", slope_pct().alias("slope_pct"), aspect().alias("aspect"), compass_aspect().alias("compass_aspect"), F.explode(cx).alias("tx"), cy.alias("ty"))
+    t = t.withColumn("ty", F.explode("ty"))
+    q = queries.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
+    hit = q.join(t, (q["cx"] == t["tx"]) & (q["cy"] == t["ty"]) & v.inside_triangle(F.col("px"), F.col("py")), "left")
+    row = F.struct("tri_id", elevation(F.col("px"), F.col("py")).alias("elevation"), "slope_pct", "aspect", "compass_aspect")
+    best = hit.groupBy("qid", "px", "py").agg(F.min(F.when(F.col("tri_id").isNotNull(), row)).alias("r"))
+    return best.select("qid", "px", "py", "r.*")
 
 
 def point_measures(tv: DataFrame, hull: DataFrame) -> DataFrame:

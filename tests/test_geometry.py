@@ -173,3 +173,24 @@ def test_histogram_cap_and_empty(spark):
     h = stats.histogram(d, "v", 4, cap=1.0).orderBy("bin").collect()
     assert len(h) == 3 and sum(r.n for r in h) == 5
     assert sum(r.n for r in stats.histogram(d.limit(0), "v", 4).collect()) == 0
+
+
+def test_helpers(spark):
+    L = lambda x: F.lit(float(x))
+    got = one(
+        spark, root=a.root_by_false_position(lambda x: x * x, L(0), L(3), L(2)), none=a.root_by_false_position(lambda x: x * x, L(0), L(1), L(2)),
+        x=a.x_from_y(L(5), L(0), L(0), L(4), L(10)), level=a.x_from_y(L(5), L(0), L(1), L(4), L(1)), same=v.same_truncated(L(1.2), L(3.9), L(5), L(1.8), L(3), L(5.5)),
+    )
+    assert got["root"] == pytest.approx(2**0.5) and got["none"] is None and got["x"] == 2 and got["level"] is None and got["same"]
+
+
+def test_sections_and_chords(spark):
+    seg = al.lines_from_points(spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, 0.0, 100.0)], "align_id string, seq int, x double, y double"))
+    st_ = spark.createDataFrame([("a", 1, 40.0)], "align_id string, sid long, sta double")
+    c = al.cross_sections(st_, seg, 5.0, 7.0).first()
+    assert (c.lx, c.ly, c.rx, c.ry) == pytest.approx((-5, 40, 7, 40))
+    assert al.moved(seg, 3, 4).first()["x0"] == 3 and al.long_chords(seg).first()["chord"] == pytest.approx(100)
+    arc = al.chain(spark.createDataFrame([("a", 0, 90.0, 100.0, 90.0)], "align_id string, seq int, degree_in double, length double, degree_out double"), spark.createDataFrame([("a", 0.0, 0.0, 0.0, 0.0)], "align_id string, x double, y double, station double, azimuth_deg double"))
+    assert [r[0] for r in arc.select(al.in_sweep(F.lit(0.0), F.lit(500.0))).collect()] in ([True], [False])
+    box = arc.select(*[e.alias(n) for n, e in al.arc_box().items()]).first()
+    assert box.xmin == pytest.approx(0) and box.ymax == pytest.approx(arc.first()["radius"])
