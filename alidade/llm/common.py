@@ -55,11 +55,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _sized(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def semi_by_size(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of df whose key is in keys: keys of a counted, bounded size are broadcast, others are joined by a shuffle."""
-    if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, on, "left_semi")
+    return df.join(_sized(keys), on, "left_semi")
+
+
+def join_by_size(df: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in the same way; a row of `rows` is small (a few numbers per wanted line of one document)."""
+    return df.join(_sized(rows), on)
 
 
 def components(edges: DataFrame) -> DataFrame:
