@@ -8,7 +8,9 @@
    still join several components are left, and there the members outside the list's largest component are paired with
    all members of other components. No list is expanded into all its pairs, and no pair of different components goes
    unverified.
-5. Group pairs pass a size and a position filter, are expanded to their members and verified on the whole sets.
+5. Postings pair only within a size and a position filter, members besides within a bitmap filter: bit b of a set's bitmap
+   is the parity of its shingles that hash to b, so two sets differ in at least as many shingles as their bitmaps in bits.
+   Group pairs are expanded to their members, and what passes is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from alidade.llm.kernels import shingle_sets
 
 #: Width of the table of shingle counts (2 MB): the only thing about shingles that reaches the driver.
 WIDTH = 1 << 18
+#: Bits of a set's bitmap.
+BITS = 512
+HALF = BITS // 128
 
 
 def _count(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
@@ -55,7 +60,7 @@ def _digest(data: bytes, size: int) -> bytes:
 def _prefixes(batches: Iterator[pa.RecordBatch], counts, k: int, num: int, den: int, lower: bool) -> Iterator[pa.RecordBatch]:
     table = counts.value
     for batch in batches:
-        sizes, sids, gids, prefixes = [], [], [], []
+        sizes, sids, gids, prefixes, bitmaps = [], [], [], [], []
         for h in shingle_sets(batch.column(1), k, lower):
             n = len(h)
             sizes.append(n)
@@ -64,14 +69,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, k: int, num: int, den:
             if not n or take < 1:
                 gids.append(None)
                 prefixes.append(None)
+                bitmaps.append(None)
                 continue
+            odd = np.bincount(((h >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+            bitmaps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             order = np.lexsort((h, table[(h & np.uint64(WIDTH - 1)).astype(np.int64)]))[:take]
             prefix = h[order].astype(np.int64)
             gids.append(int.from_bytes(_digest(prefix.tobytes() + n.to_bytes(8, "little"), 8), "little", signed=True))
             prefixes.append(prefix)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-            ["id", "n", "sid", "gid", "prefix"],
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))],
+            ["id", "n", "sid", "gid", "prefix", "bits"],
         )
 
 
@@ -88,6 +96,21 @@ def _enough(shared: Column, n: Column, m: Column, num: int, den: int) -> Column:
     return shared * den >= (n + m - shared) * num
 
 
+def _possible(n: Column, i: Column, m: Column, j: Column, num: int, den: int) -> Column:
+    """Whether sets of sizes n and m whose first common shingle is at places i and j of their orders can link.
+
+    At most min(n - i, m - j) shingles are shared then. A pair that links passes at its first common shingle, so each
+    posting can be judged alone and a pair that passes nowhere is none.
+    """
+    return _enough(F.least(n - i, m - j), n, m, num, den)
+
+
+def _alike(n: Column, x: Column, m: Column, y: Column, num: int, den: int) -> Column:
+    """Whether sets of sizes n and m with bitmaps x and y can link."""
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return _enough(F.floor((n + m - apart) / 2), n, m, num, den)
+
+
 def linked(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100, lower: bool = True) -> DataFrame:
     """(id, n_shingles, component_id): one row per row of df.
 
@@ -102,7 +125,7 @@ def linked(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     thin = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(thin, "text", k, lower))
     id_type = thin.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n long, sid binary, gid long, prefix array<long>"
+    schema = f"id {id_type}, n long, sid binary, gid long, prefix array<long>, bits array<long>"
     docs = written(thin.mapInArrow(lambda b: _prefixes(b, counts, k, num, den, lower), schema), "prefixes")
 
     # equal sets are one vertex; its document of least id stands for it
@@ -112,43 +135,56 @@ def linked(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     least = next((n for n in range(1, den + 1) if (n + 1) * num <= n * den), None)
     if least is None:  # only equal sets link
         return _labelled(docs, sets, sets.select("sid", F.col("sid").alias("root")).limit(0), id_type)
-    vertices = docs.where(F.col("n") >= least).groupBy("sid", "gid", "n").agg(F.first("prefix").alias("prefix"))
-    members = written(vertices.select("sid", "gid", "n"), "members")
-    groups = vertices.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.count("*").alias("m"))
-    posted = groups.select("gid", "n", "m", F.posexplode("prefix").alias("pos", "shingle"))
-    posted = posted.select("shingle", F.struct("gid", "n", "pos", "m").alias("g"))
-    lists = posted.groupBy("shingle").agg(F.sum("g.m").alias("size"), F.min("g").alias("pivot")).where("size > 1").drop("size")
-    entries = posted.join(lists, "shingle")
-    entries = written(entries.select("shingle", "g.gid", "g.n", "g.pos", F.col("pivot.gid").alias("pgid"), F.col("pivot.n").alias("pn"), F.col("pivot.pos").alias("ppos")), "lists")
+    vertices = docs.where(F.col("n") >= least)
+    members = written(vertices.groupBy("sid", "gid", "n").agg(F.first("bits").alias("bits")), "members")
+    groups = vertices.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), (F.min("sid") != F.max("sid")).alias("several"))
+    posted = groups.select(F.posexplode("prefix").alias("pos", "shingle"), "gid", "n", "several")
+    # a posting is its shingle, its group and one number for size, place and whether the group has several members
+    packed = F.shiftleft("n", 32) + F.shiftleft(F.col("pos").cast("long"), 1) + F.col("several").cast("long")
+    posted = posted.select("shingle", "gid", packed.alias("at"))
+    lists = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.max(F.col("at").bitwiseAND(F.lit(1))).alias("several"), F.min("gid").alias("pgid"))
+    lists = lists.where("size > 1 or several = 1").select("shingle", "pgid")
+    n_pos = (F.shiftright("at", 32).alias("n"), F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1).alias("pos"))
+    entries = written(posted.join(lists, "shingle").select("shingle", "gid", *n_pos, "pgid"), "lists")
 
     # first round: each group with the pivots of its lists, and each pivot with itself if it has several members
-    pairs = entries.groupBy("gid", "n", "pgid", "pn").agg(F.min("pos").alias("a"), F.min("ppos").alias("b"))
-    most = F.least(F.col("n") - F.col("a"), F.col("pn") - F.col("b"))
-    pairs = pairs.where(_enough(F.least("n", "pn"), F.col("n"), F.col("pn"), num, den) & _enough(most, F.col("n"), F.col("pn"), num, den)).select("gid", "pgid")
-    stand = members.groupBy("gid").agg(F.min("sid").alias("y")).withColumnRenamed("gid", "pgid")
-    first = members.select("gid", F.col("sid").alias("x")).join(pairs, "gid").join(stand, "pgid").where("x != y").select("x", "y").distinct()
+    pivots = entries.where("gid = pgid").select("shingle", F.col("n").alias("pn"), F.col("pos").alias("ppos"))
+    pairs = entries.join(pivots, "shingle").where(_possible(F.col("n"), F.col("pos"), F.col("pn"), F.col("ppos"), num, den)).select("gid", "pgid").distinct()
+    stand = members.groupBy("gid").agg(F.min_by(F.struct("sid", "n", "bits"), "sid").alias("s")).select(F.col("gid").alias("pgid"), "s")
+    first = members.join(pairs, "gid").join(stand, "pgid").where((F.col("sid") != F.col("s.sid")) & _alike(F.col("n"), F.col("bits"), F.col("s.n"), F.col("s.bits"), num, den))
+    first = first.select(F.col("sid").alias("x"), F.col("s.sid").alias("y")).distinct()
     first = written(first, "pairs")
     links = written(_verified(first, thin, sets, k, lower, num, den), "links")
     root = written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
     # second round: lists that still join several components
-    label = F.coalesce("root", "sid")
-    spread = members.join(root, members["sid"] == root["id"], "left").select("sid", "gid", label.alias("c"))
-    entry = written(entries.select("shingle", "gid", "n", "pos").join(spread, "gid"), "spread")
-    mixed = entry.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("shingle")
-    parts = entry.join(mixed, "shingle", "left_semi").groupBy("shingle", "c").agg(F.count("*").alias("size"))
-    main = parts.groupBy("shingle").agg(F.max(F.struct("size", "c"))["c"].alias("main"))
-    entry = written(entry.join(main, "shingle"), "mixed")
-    names = {c: f"{c}2" for c in ("sid", "n", "pos", "c")}
-    small = entry.where("c != main").select("shingle", "sid", "n", "pos", "c")
-    every = entry.select("shingle", "main", *[F.col(c).alias(d) for c, d in names.items()])
-    fits = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("c") < F.col("c2"))) & _enough(F.least("n", "n2"), F.col("n"), F.col("n2"), num, den)
-    second = small.join(every, "shingle").where(fits)
-    second = second.groupBy(F.least("sid", "sid2").alias("x"), F.greatest("sid", "sid2").alias("y"), *[F.when(F.col("sid") < F.col("sid2"), F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (("n", "n2", "nx"), ("n2", "n", "ny"))]).agg(
-        F.min(F.when(F.col("sid") < F.col("sid2"), F.col("pos")).otherwise(F.col("pos2"))).alias("a"),
-        F.min(F.when(F.col("sid") < F.col("sid2"), F.col("pos2")).otherwise(F.col("pos"))).alias("b"),
-    )
-    second = second.where(_enough(F.least(F.col("nx") - F.col("a"), F.col("ny") - F.col("b")), F.col("nx"), F.col("ny"), num, den)).select("x", "y")
+    named = members.join(root, members["sid"] == root["id"], "left").withColumn("c", F.xxhash64(F.coalesce("root", "sid")))
+    named = written(named.select("sid", "gid", "bits", "c"), "named")
+    comps = named.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    entry = written(entries.select("shingle", "gid", "n", "pos").join(comps, "gid"), "spread")
+    mixed = entry.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("shingle")
+    entry = entry.select("shingle", "gid", "n", "pos").join(written(mixed, "mixed"), "shingle", "left_semi")
+    # beside a group that is one set, the first half of its bitmap, so that postings can be told apart where they meet
+    half = [F.when(F.count("*") == 1, F.max(F.get("bits", F.lit(i)))).alias(f"w{i}") for i in range(HALF)]
+    entry = written(entry.join(named.groupBy("gid", "c").agg(*half), "gid"), "mixed")
+    parts = entry.groupBy("shingle", "c").agg(F.count("*").alias("size"))
+    main = written(parts.groupBy("shingle").agg(F.max(F.struct("size", "c"))["c"].alias("main")), "main")
+    bits = named.groupBy("gid", "c").agg(F.collect_list(F.struct("sid", "bits")).alias("sets"))
+    entry = entry.join(main, "shingle")
+    words = [f"w{i}" for i in range(HALF)]
+    names = {c: f"{c}2" for c in ("gid", "n", "pos", "c", *words)}
+    small = entry.where("c != main").select("shingle", "gid", "n", "pos", "c", *words)
+    every = entry.select(F.col("shingle").alias("shingle2"), "main", *[F.col(c).alias(d) for c, d in names.items()])
+    fits = (F.col("c") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("c") < F.col("c2"))) & _possible(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), num, den)
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in words), F.lit(0))
+    fits = fits & F.coalesce(_enough(F.floor((F.col("n") + F.col("n2") - apart) / 2), F.col("n"), F.col("n2"), num, den), F.lit(True))
+    second = small.join(every, (F.col("shingle") == F.col("shingle2")) & fits)
+    second = written(second.select("gid", "c", "n", "gid2", "c2", "n2").distinct(), "group-pairs")
+    one = bits.select("gid", "c", F.col("sets").alias("x"))
+    two = bits.select(F.col("gid").alias("gid2"), F.col("c").alias("c2"), F.col("sets").alias("y"))
+    second = second.join(one, ["gid", "c"]).join(two, ["gid2", "c2"]).select("n", "n2", "y", F.explode("x").alias("x")).select("n", "n2", "x", F.explode("y").alias("y"))
+    second = second.where(_alike(F.col("n"), F.col("x.bits"), F.col("n2"), F.col("y.bits"), num, den))
+    second = second.select(F.least("x.sid", "y.sid").alias("x"), F.greatest("x.sid", "y.sid").alias("y")).distinct()
     done = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     second = written(second.join(done, ["x", "y"], "left_anti"), "pairs")
     more = written(_verified(second, thin, sets, k, lower, num, den), "links")
@@ -187,7 +223,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the least doc_id) of each group at 0.8 or more on five-word shingles, with its own columns."""
-    docs = written(docs, "docs")
     rows = linked(docs, k=5, num=80, den=100)
     gone = written(rows.where("id != component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
