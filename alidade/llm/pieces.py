@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from alidade.llm.common import documents
 
 MARK = "▁"
-#: Segments whose paths, and pairs whose weights, a worker remembers; it starts again when they are full.
+#: Segments whose paths a worker remembers: the last so many, and those used again among the so many before.
 REMEMBERED = 1 << 18
+#: Pairs of pieces whose weights a worker remembers; it starts again when they are full.
+WEIGHTS = 1 << 19
 INF = float("inf")
+START, OUTSIDE = -1, -2
 
 
 def read_model(path: str) -> dict:
@@ -33,7 +35,7 @@ def read_model(path: str) -> dict:
     found = {"texts": {}, "scores": {}, "bytes": {}, "out": [], "prefix": norm.add_dummy_prefix, "unknown": 0}
     for i, p in enumerate(proto.pieces):
         out = b""
-        if p.type in (kinds.NORMAL, kinds.USER_DEFINED):
+        if p.type == kinds.NORMAL:
             found["texts"][p.piece] = i
             found["scores"][p.piece] = p.score
             out = p.piece.replace(MARK, " ").encode()
@@ -44,7 +46,8 @@ def read_model(path: str) -> dict:
             found["unknown"] = i
             out = " ⁇ ".encode()
         found["out"].append(out)
-    found["user"] = sorted((p.piece for p in proto.pieces if p.type == kinds.USER_DEFINED), key=len, reverse=True)
+    if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
+        raise ValueError("user-defined pieces are not supported")
     return found
 
 
@@ -63,16 +66,23 @@ class Transducer:
         self.byte_ids = model["bytes"]
         self.unknown = model["unknown"]
         self.prefix = MARK if model["prefix"] else ""
-        self.longest = max(map(len, self.ids))
-        self.user = set(model["user"])
+        self.texts = {i: p for p, i in self.ids.items()}
+        # the piece transducer's states: a tree of characters, a piece's id under None
+        self.tree: dict = {}
+        for piece, i in self.ids.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[None] = i
         # No piece has a mark after another character, and controls outside the vocabulary join nothing: a text
         # falls into segments there, whose paths are independent.
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that span words are not supported")
         cut = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.segments = re.compile(f"[{cut}]|{MARK}*[^{MARK}{cut}]+|{MARK}+" if cut else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.weights: dict[tuple[str, str], float] = {}
+        self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.weights: dict[int, float] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging the best-scored adjacent pair, leftmost first, makes of a short text."""
@@ -87,74 +97,89 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def weight(self, last: str, piece: str) -> float:
-        """Of the arc that reads piece in the state after last ('' at the start)."""
-        key = (last, piece)
+    def weight(self, last: int, piece: int) -> float:
+        """Of the arc that reads a piece in the state after `last` (START, or OUTSIDE after a character that is none)."""
+        key = (last + 2) << 32 | piece
         w = self.weights.get(key)
         if w is None:
-            w = 0.0 if self.merged(last + piece) == ([last, piece] if last else [piece]) else INF
-            if len(self.weights) >= REMEMBERED:
+            parts = [self.texts[i] for i in (last, piece) if i >= 0]
+            w = 0.0 if self.merged("".join(parts)) == parts else INF
+            if len(self.weights) >= WEIGHTS:
                 self.weights.clear()
             self.weights[key] = w
         return w
 
-    def path(self, segment: str) -> tuple[int, ...]:
-        ids, weight, longest, n = self.ids, self.weight, self.longest, len(segment)
-        last: list[str] = [""] + [None] * n  # the piece by which the shortest path reaches each position
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = segment[start:end]
-                if piece in ids:
-                    before = last[start]
-                    if before is not None and weight("" if before and before not in ids else before, piece) < INF:
-                        last[end] = piece
-                        break
-            else:  # only a character that is no piece gets here
-                last[end] = segment[end - 1]
+    def path(self, segment: str) -> bytes:
+        """Ids along the shortest path, as 32-bit numbers."""
+        weights, tree, n = self.weights, self.tree, len(segment)
+        last: list = [None] * (n + 1)  # the piece by which the shortest path reaches each position, and where it began
+        begun = [0] * (n + 1)
+        last[0] = START
+        for start in range(n):
+            before = last[start]
+            base = (before + 2) << 32
+            node = tree
+            for end in range(start + 1, n + 1):
+                node = node.get(segment[end - 1])
+                if node is None:
+                    break
+                piece = node.get(None)
+                if piece is not None and last[end] is None:
+                    w = weights.get(base | piece)
+                    if (self.weight(before, piece) if w is None else w) < INF:
+                        last[end], begun[end] = piece, start
+            if last[start + 1] is None and segment[start] not in self.ids:
+                last[start + 1], begun[start + 1] = OUTSIDE, start
         found: list[int] = []
         end = n
         while end:
-            piece = last[end]
-            if piece in ids:
-                found.append(ids[piece])
+            if last[end] >= 0:
+                found.append(last[end])
             elif self.byte_ids:
-                found.extend(self.byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
+                found.extend(self.byte_ids[b] for b in reversed(segment[end - 1].encode("utf-8", "surrogatepass")))
             else:
                 found.append(self.unknown)
-            end -= len(piece)
-        return tuple(reversed(found))
+            end = begun[end]
+        return array("i", reversed(found)).tobytes()
 
     def encode(self, text: str, into: array) -> None:
         if not text:
             return
-        paths = self.paths
+        paths, out = self.paths, []
         for segment in self.segments.findall(self.prefix + text.replace(" ", MARK)):
             found = paths.get(segment)
             if found is None:
-                found = self.path(segment)
+                found = self.older.get(segment) or self.path(segment)
                 if len(segment) <= 64:
                     if len(paths) >= REMEMBERED:
-                        paths.clear()
+                        self.older, self.paths = paths, {}
+                        paths = self.paths
                     paths[segment] = found
-            into.extend(found)
+            out.append(found)
+        into.frombytes(b"".join(out))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=4)
+_ready: dict[str, Transducer] = {}
+
+
 def _transducer(key: str, model) -> Transducer:
-    return Transducer(model.value)
+    """The worker's transducer of the broadcast model, compiled once."""
+    if key not in _ready:
+        _ready[key] = Transducer(model.value)
+    return _ready[key]
 
 
-def _with(df: DataFrame, drop: list[str]):
-    keep = [c for c in df.columns if c.lower() not in drop]
-    return keep, [f for f in df.schema.fields if f.name.lower() not in drop]
+def _others(df: DataFrame, name: str) -> list[str]:
+    return [c for c in df.columns if c.lower() != name.lower()]
 
 
 def _broadcast(df: DataFrame, model: str):
-    return df.sparkSession.sparkContext.broadcast(read_model(model))
+    found = read_model(model)
+    return hashlib.md5(repr(sorted(found["texts"].items())).encode()).hexdigest(), df.sparkSession.sparkContext.broadcast(found)
 
 
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -163,12 +188,12 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
     `model` is the path of a model file, read by the driver and broadcast (its size is the vocabulary's). A null or
     empty text has no ids. Rows are encoded alone; memory per row is the row's own ids and a bounded table of paths.
     """
-    shared = _broadcast(df, model)
-    keep, _ = _with(df, [ids.lower()])
+    key, shared = _broadcast(df, model)
+    keep = _others(df, ids)
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        fst = _transducer(str(shared.id), shared)
+        fst = _transducer(key, shared)
         values, ends = array("i"), [0]
         for t in texts.to_pylist():
             fst.encode(t, values)
@@ -185,14 +210,15 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
     Byte pieces are joined to UTF-8 (what is no UTF-8 becomes U+FFFD) and the leading blank is taken off. A null list
     decodes to null, an empty one to the empty text.
     """
-    shared = _broadcast(df, model)
-    keep, _ = _with(df, [text.lower()])
+    key, shared = _broadcast(df, model)
+    keep = _others(df, text)
 
     @F.arrow_udf("string")
     def run(lists: pa.Array) -> pa.Array:
-        fst = _transducer(str(shared.id), shared)
-        values, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-        return pa.array([fst.decode(values[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())], pa.string())
+        fst = _transducer(key, shared)
+        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        # one list at a time becomes Python numbers: those of a whole batch would be many times its size
+        return pa.array([fst.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())], pa.string())
 
     return df.select(*[F.col(f"`{c}`") for c in keep], run(F.col(f"`{ids}`")).alias(text))
 
