@@ -39,12 +39,6 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replaced(df: DataFrame, names: list[str]) -> DataFrame:
-    """df without columns (in any letter case) that an operator is about to add: its own result columns win."""
-    own = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
-
-
 def word_count(text: Column) -> Column:
     """Number of words in text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
