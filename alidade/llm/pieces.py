@@ -86,16 +86,17 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """What merging the best-scored adjacent pair, leftmost first, makes of a short text."""
-        parts = list(text)
-        while True:
-            best, at = -INF, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and score > best:
-                    best, at = score, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score = list(text), self.scores.get
+        pairs = [score(a + b, -INF) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > -INF:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], -INF)
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], -INF)
+        return parts
 
     def weight(self, last: int, piece: int) -> float:
         """Of the arc that reads a piece in the state after `last` (START, or OUTSIDE after a character that is none)."""
