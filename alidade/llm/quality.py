@@ -142,7 +142,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass, with their own columns."""
     mark = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col("text").alias("__text"))
-    return quality(mark, text="__text").where("kept").select("__doc.*")
+    # an explode of one or no document, not a filter: that would be pushed below the statistics and repeat them per use
+    some = F.explode(F.when(F.col("kept"), F.array("__doc"))).alias("__doc")
+    return quality(mark, text="__text").select(some).select("__doc.*")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
