@@ -208,6 +208,46 @@ def test_line_dedup_against_brute_force(spark, sf_dir):
     assert sum(gone[10_000 + k] for k in range(len(some))) >= len(some) // 2
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def removed_copies(spark, folder, pairs):
+    """Which of the pairs of lines lose the second one in the query, a document each."""
+    rows = [(2 * k + j, line) for k, p in enumerate(pairs) for j, line in enumerate(p)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    gone = {r.doc_id for r in line_dedup.query(spark, str(folder)).where("n_removed > 0").collect()}
+    assert all(i % 2 for i in gone)
+    return [2 * k + 1 in gone for k in range(len(pairs))]
+
+
+def invented(rnd, n):
+    return ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(3, 8))) for _ in range(n)]
+
+
+def test_similar_lines_by_length(spark, tmp_path):
+    rnd = random.Random(11)
+    pairs, sizes = [], []
+    for n in (13, 16, 20, 25, 40):
+        while sizes.count(n) < 30:
+            a = invented(rnd, n)
+            b = list(a)
+            for k in rnd.sample(range(n), rnd.randint(1, n // 6)):
+                b[k] = invented(rnd, 1)[0]
+            a, b = " ".join(a), " ".join(b)
+            if a != b and 5 * edits(a, b) <= max(len(a), len(b)):
+                pairs.append((a, b))
+                sizes.append(n)
+    found = collections.Counter(n for n, f in zip(sizes, removed_copies(spark, tmp_path, pairs)) if f)
+    assert all(found[n] >= 27 for n in set(sizes)), found
+
+
 # --- 6 ---
 
 
