@@ -248,6 +248,26 @@ def test_similar_lines_by_length(spark, tmp_path):
     assert all(found[n] >= 27 for n in set(sizes)), found
 
 
+def test_similar_short_lines(spark, tmp_path):
+    rnd = random.Random(12)
+    pairs = [("internationalisation", "internationalization"), ("abcde", "abxde"), ("harbour lights", "harbor lights"), ("eding enin", "eding in")]
+    for n in (6, 8, 9, 10, 12):
+        for kind in ("replaced", "swapped", "repeated", "two") * 8:
+            a = invented(rnd, n)
+            b, k = list(a), rnd.randrange(n - 1)
+            if kind == "swapped":
+                b[k], b[k + 1] = b[k + 1], b[k]
+            elif kind == "repeated":
+                b.insert(k, b[k])
+            else:
+                for i in rnd.sample(range(n), 1 + (kind == "two")):
+                    b[i] = invented(rnd, 1)[0]
+            a, b = " ".join(a), " ".join(b)
+            if a != b and 5 * edits(a, b) <= max(len(a), len(b)):
+                pairs.append((a, b))
+    assert len(pairs) > 80 and all(removed_copies(spark, tmp_path, pairs))
+
+
 # --- 6 ---
 
 
