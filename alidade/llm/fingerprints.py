@@ -1,4 +1,5 @@
-"""Threshold-scaled sketches of documents: every shingle hash under a fixed fraction of the hash range is kept."""
+"""Threshold-scaled sketches of documents: every shingle hash under a fixed fraction of the hash range is kept, and the
+least hashes at any rate, so that short texts keep all of theirs."""
 
 from __future__ import annotations
 
@@ -16,13 +17,27 @@ from alidade.llm.kernels import shingle_sets
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
+#: So many least hashes are kept wherever they lie.
+LEAST = 64
 CELLS = 1 << 16
 
 
 def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
-    """Sorted kept hashes of each text; the union of two sketches is the sketch of both texts' shingles together."""
-    most = np.uint64(2**64 // scale)
-    return [s[: np.searchsorted(s, most)] for s in shingle_sets(texts, k)]
+    """Sorted kept hashes of each text: those under the threshold and the LEAST least ones.
+
+    The sketch of both texts' shingles together is made from the union of two sketches in the same way.
+    """
+    most = np.uint64(2**64 // scale) if scale > 1 else np.uint64(2**64 - 1)
+    return [s[: max(LEAST, np.searchsorted(s, most))] for s in shingle_sets(texts, k)]
+
+
+def _common_range(a: np.ndarray, b: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of both sketches in the range in which neither lacks one of its text's hashes."""
+    if len(a) < LEAST and len(b) < LEAST:
+        return a, b
+    under = np.uint64(2**64 // scale - 1)
+    top = min(max(under, s[LEAST - 1]) for s in (a, b) if len(s) >= LEAST)
+    return a[: np.searchsorted(a, top, side="right")], b[: np.searchsorted(b, top, side="right")]
 
 
 def written_out(sketch: np.ndarray) -> str:
@@ -34,24 +49,25 @@ def read_in(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), dtype=">u8").astype(np.uint64)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of the shingle sets; 0 if either sketch is empty (nothing speaks for a likeness)."""
-    if not len(a) or not len(b):
-        return 0.0
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    """Jaccard similarity of the shingle sets, estimated if one has more than LEAST; 1 if neither text has a word."""
+    if not len(a) and not len(b):
+        return 1.0
+    a, b = _common_range(a, b, scale)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has, however unequal the texts; 0 if a's sketch is empty."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+    """Estimated share of a's shingles that b has, however unequal the texts; 0 if none of a's can be judged."""
+    a, b = _common_range(a, b, scale)
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 0.0
 
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", k: int = SHINGLE, scale: int = SCALE) -> DataFrame:
     """df with the fingerprint of each whole text in column `name` (an input column of that name is replaced).
 
-    Null and empty texts have the empty fingerprint, as have texts none of whose shingles fall under the threshold;
-    equal texts have equal fingerprints. Rows are read alone.
+    Only null and wordless texts have the empty fingerprint; equal texts have equal fingerprints. Rows are read alone.
     """
 
     @F.arrow_udf("string")
@@ -108,8 +124,8 @@ def _described(pairs: list, k: int, scale: int) -> pa.RecordBatch:
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             pa.array([written_out(s) for s in own], pa.string()),
             pa.array([written_out(s) for s in changed], pa.string()),
-            pa.array([likeness(a, b) for a, b in zip(own, changed)], pa.float64()),
-            pa.array([likeness(a, b) for a, b in zip(own, following)], pa.float64()),
+            pa.array([likeness(a, b, scale) for a, b in zip(own, changed)], pa.float64()),
+            pa.array([likeness(a, b, scale) for a, b in zip(own, following)], pa.float64()),
         ],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )

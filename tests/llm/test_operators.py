@@ -362,6 +362,20 @@ def test_fingerprints(spark, sf_dir, odd, empty):
     assert fingerprints.fingerprint(odd.withColumn("fingerprint", F.lit(1))).count() == 6
 
 
+def test_likeness_of_short_texts(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in range(1, 51)]
+    rows = [(2 * k, t) for k, t in enumerate(texts)] + [(2 * k + 1, t) for k, t in enumerate(texts)] + [(-1, ""), (-2, None), (-3, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = lambda x: {tuple(words(x)[k : k + 5]) for k in range(max(1, len(words(x)) - 4))}
+    got = {r.doc_id: r for r in fingerprints.compared(df).collect()}
+    for k, t in enumerate(texts):
+        r = got[2 * k + 1]
+        edited = t[: len(t) - len(t) // 2] + t[: len(t) // 2]
+        assert r.fingerprint and r.near_next == 1.0 and r.near_edited == pytest.approx(len(s(t) & s(edited)) / len(s(t) | s(edited)))
+    assert got[-1].near_edited == got[-1].near_next == 1.0 and got[-1].fingerprint == ""
+
+
 def test_containment_of_unequal_texts():
     rnd = random.Random(5)
     big = [f"t{rnd.randrange(10**6)}" for _ in range(20000)]
