@@ -162,18 +162,30 @@ _PP = "pp AS (SELECT r AS align_id, c_custkey AS pid, 1000.0::DOUBLE*r+CAST(c_cu
 _AZ = "CASE WHEN {0}<-180 THEN {0}+360 WHEN {0}>180 THEN {0}-360 ELSE {0} END"
 
 
-@add("a21_xy_to_station", f"""WITH {_CH}, {_PP}, m AS (SELECT pp.*, seq, kind, s0, len, turn, dir, rad, (px-x0)*sin(radians(az0))+(py-y0)*cos(radians(az0)) AS ll, (px-x0)*cos(radians(az0))-(py-y0)*sin(radians(az0)) AS lo,
+_A21 = f"""WITH {_CH}, {_PP}, m AS (SELECT pp.*, seq, kind, s0, len, turn, dir, rad, (px-x0)*sin(radians(az0))+(py-y0)*cos(radians(az0)) AS ll, (px-x0)*cos(radians(az0))-(py-y0)*sin(radians(az0)) AS lo,
  x0+rad*dir*cos(radians(az0)) AS cx, y0-rad*dir*sin(radians(az0)) AS cy, az0-90*dir AS a0 FROM pp JOIN sg USING (align_id)),
 n AS (SELECT *, degrees(atan2(px-cx,py-cy))-a0 AS w0, sqrt((px-cx)*(px-cx)+(py-cy)*(py-cy)) AS dist FROM m), o AS (SELECT *, w0-floor(w0/360)*360 AS w1 FROM n), q AS (SELECT *, CASE WHEN w1>180 THEN w1-360 ELSE w1 END AS w FROM o),
 h AS (SELECT align_id, pid, seq, CASE kind WHEN 'line' THEN ll WHEN 'arc' THEN len*w/turn END AS l, CASE kind WHEN 'line' THEN lo WHEN 'arc' THEN dir*(rad-dist) END AS off, s0, len FROM q)
-SELECT align_id, pid, seq, {r6('s0+l')} AS sta, {r6('off')} AS off, CAST(row_number() OVER (PARTITION BY align_id, pid ORDER BY floor(abs(off)*1e6+0.5), seq) AS INT) AS place FROM h WHERE l>=0 AND l<=len""")
-def _a21(spark, d):
-    c = x.table(spark, d, "customer").where("c_custkey % 10 = 0")
+SELECT align_id, pid, seq, {r6('s0+l')} AS sta, {r6('off')} AS off, CAST(row_number() OVER (PARTITION BY align_id, pid ORDER BY floor(abs(off)*1e6+0.5), seq) AS INT) AS place FROM h WHERE l>=0 AND l<=len"""
+
+
+def _stationed(spark, d, which):
+    c = x.table(spark, d, "customer").where(which)
     p = c.withColumn("align_id", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).select("align_id", F.col("c_custkey").alias("pid"), (F.col("align_id") * 1000.0 + (F.col("c_custkey") * 37 % 400).cast("double") + 0.25).alias("px"), ((F.col("c_custkey") * 91 % 400).cast("double") - 50 + 0.125).alias("py"))
     h = al.xy_to_station(p, segments(spark, d))
     return h.select("align_id", "pid", "seq", R(F.col("sta")).alias("sta"), R(F.col("off")).alias("off"), "place")
 
 
+@add("a21_xy_to_station", _A21)
+def _a21(spark, d):
+    return _stationed(spark, d, "c_custkey % 10 = 0")
+
+
+@add("a21_xy_to_station_all", _A21.replace(" WHERE c_custkey%10=0", ""))
+def _a21_all(spark, d):
+    return _stationed(spark, d, "true")
+
+
 _RG = "rg AS (SELECT align_id, CAST(row_number() OVER (PARTITION BY align_id ORDER BY seq) AS INT) AS region, 100.0::DOUBLE*seq AS b, 100.0::DOUBLE*seq+len AS e FROM el)"
 
 
@@ -211,6 +223,12 @@ def _a09(spark, d):
     return al.ordered_pieces(s).select("pid", "place")
 
 
+@add("a09_order_pieces_all", f"WITH {_CH} SELECT align_id, seq AS pid, CAST(seq AS BIGINT) AS place FROM sg")
+def _a09_all(spark, d):
+    s = segments(spark, d).select("align_id", F.col("seq").alias("pid"), "x0", "y0", "x1", "y1")
+    return al.ordered_pieces(s, by="align_id").select("align_id", "pid", "place")
+
+
 @add("x_angles", f"""WITH q AS (SELECT c_custkey AS k, CAST(c_custkey*37%1440-720 AS DOUBLE) AS g FROM customer)
 SELECT k, {r6('degrees(atan2(sin(radians(g)),cos(radians(g))))')} AS norm, {r6('(90-g)-floor((90-g)/360)*360')} AS az, CAST(floor((g-floor(g/360)*360)/90)+1 AS INT) AS quad, {r6('18000/(pi()*(abs(g)+1))')} AS radius FROM q""")
 def _xa(spark, d):
