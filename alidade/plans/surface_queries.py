@@ -373,6 +373,11 @@ def _t05(spark, d):
     return hull.convex_hull(x.cloud(spark, d).where("seq < 400").select(F.col("seq").alias("point_id"), "x", "y")).select("point_id")
 
 
+@add("t05_hull2d_cloud", None)
+def _t05b(spark, d):
+    return hull.convex_hull(x.cloud(spark, d).select(F.col("seq").alias("point_id"), "x", "y")).select("point_id")
+
+
 _DEC = f"{SURF}, {GONE}, {VE}, {HULL}, cnt AS (SELECT (SELECT count(*) FROM lp) AS n, (SELECT count(*) FROM hull) AS h)"
 
 
