@@ -26,6 +26,21 @@ def numbered(rows: DataFrame, order: str, name: str = "place", cells: int = 1024
     return r.withColumn("__in", inside).join(n, "__cell").withColumn(name, F.col("__first") + F.col("__in")).drop("__cell", "__first", "__in")
 
 
+def placed(rows: DataFrame, order: str, then: list[str], name: str = "place") -> DataFrame:
+    """rows with a 1-based place in `order` (without nulls), equal values by `then`: rows of a value, then values."""
+    n = written(rows.groupBy(order).agg(F.count("*").alias("__n")).withColumn("__key", F.col(order).cast("double")))
+    span = n.agg(F.min("__key").alias("__lo"), F.max("__key").alias("__hi"))
+    cell = F.coalesce(F.floor(F.try_divide(F.col("__key") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 1023), F.lit(0))
+    n = n.crossJoin(F.broadcast(span)).withColumn("__cell", cell)  # one row
+    up_to = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = n.groupBy("__cell").agg(F.sum("__n").alias("__n"))
+    cells = F.broadcast(cells.select("__cell", up_to(Window.orderBy("__cell")).alias("__first")))  # at most 1,024 rows
+    before = n.withColumn("__in", up_to(Window.partitionBy("__cell").orderBy(order))).join(cells, "__cell")
+    before = before.select(order, (F.col("__first") + F.col("__in")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(order).orderBy(*then))
+    return rows.withColumn("__at", inside).join(before, order).withColumn(name, (F.col("__before") + F.col("__at")).cast("long")).drop("__at", "__before")
+
+
 def every_nth(points: DataFrame, skip: int, order: str = "seq") -> DataFrame:
     """points with used: every (skip + 1)-th in order."""
     return numbered(points, order, "__place").withColumn("used", F.col("__place") % (skip + 1) == 0).drop("__place")

@@ -487,6 +487,19 @@ def _l01(spark, d):
     return top.select("tri_id", F.row_number().over(Window.orderBy("xmin", "ymin", "tri_id")).cast("long").alias("place"))
 
 
+@add("l04_edges_by_dihedral_all", f"WITH {SURF}, {EDGES}, {DIH} SELECT pa, pb, row_number() OVER (ORDER BY floor(dihedral*1000000+0.5) DESC NULLS LAST, pa, pb) AS place FROM dih")
+def _l04_all(spark, d):
+    _, tv = x.lattice(spark, d)
+    e = s.dihedrals(s.edges(tv), tv).select("pa", "pb", F.coalesce(-F.floor(F.col("dihedral") * 1000000 + 0.5), F.lit(1)).alias("key"))
+    return decimate.placed(e, "key", ["pa", "pb"]).select("pa", "pb", "place")
+
+
+@add("l01_triangles_by_corner_all", f"WITH {SURF} SELECT tri_id, row_number() OVER (ORDER BY xmin, ymin, tri_id) AS place FROM tv")
+def _l01_all(spark, d):
+    _, tv = x.lattice(spark, d)
+    return decimate.placed(tv, "xmin", ["ymin", "tri_id"]).select("tri_id", "place")
+
+
 @add("u02_concat_points", f"WITH {CLOUD} SELECT seq FROM cloud")
 def _u02(spark, d):
     c = decimate.every_nth(x.cloud(spark, d), 2)
