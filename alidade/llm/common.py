@@ -31,12 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Set while a table is written: the shuffles of a finished write are removed at once, as nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts lineage, survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_written"] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.__dict__.pop("_written"))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:
@@ -67,8 +86,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (id, root) per vertex, root the least id.
 
     Alternates large-star and small-star steps; each is a partial minimum per vertex and an equi-join that AQE can
-    split, and each round is written to the shared folder, so no component is ever gathered in one place.
-    Null ends and self-loops link nothing; no edges give no rows.
+    split, and each round is written to the shared folder in place of the one before, so no component is ever gathered
+    in one place. Null ends and self-loops link nothing; no edges give no rows.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = written(e.distinct(), "edges")
@@ -83,6 +102,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "edges")
+        before, e = e, written(small.distinct(), "edges")
+        drop(before)
     rows = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return rows.union(rows.select(F.col("root").alias("id"), "root").distinct())
