@@ -8,8 +8,8 @@
    still join several components are left, and there the members outside the list's largest component are paired with
    all members of other components. No list is expanded into all its pairs, and no pair of different components goes
    unverified.
-5. Postings pair only within a size and a position filter, members besides within a bitmap filter: bit b of a set's bitmap
-   is the parity of its shingles that hash to b, so two sets differ in at least as many shingles as their bitmaps in bits.
+5. Pairs pass a size filter, a position filter and a bitmap filter where they meet: bit b of a set's bitmap is the parity
+   of its shingles that hash to b, so two sets differ in at least as many shingles as their bitmaps in bits.
    Group pairs are expanded to their members, and what passes is verified on the whole sets.
 """
 
@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alidade.llm.common import components, documents, semi_by_size, written
+from alidade.llm.common import components, documents, drop, semi_by_size, written
 from alidade.llm.kernels import shingle_sets
 
 #: Width of the table of shingle counts (2 MB): the only thing about shingles that reaches the driver.
 WIDTH = 1 << 18
-#: Bits of a set's bitmap.
-BITS = 512
-HALF = BITS // 128
+#: Bits of a set's bitmap: so many that sets of some hundred shingles which fall short of the threshold are told apart by it.
+BITS = 1024
+WORDS = BITS // 64
 
 
 def _count(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, k: int, num: int, den:
     table = counts.value
     for batch in batches:
         sizes, sids, gids, prefixes, bitmaps = [], [], [], [], []
-        for h in shingle_sets(batch.column(1), k, lower):
+        for h in shingle_sets(batch.column(2), k, lower):
             n = len(h)
             sizes.append(n)
             sids.append(_digest(h.tobytes(), 16) if n else None)
@@ -78,8 +78,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts, k: int, num: int, den:
             gids.append(int.from_bytes(_digest(prefix.tobytes() + n.to_bytes(8, "little"), 8), "little", signed=True))
             prefixes.append(prefix)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))],
-            ["id", "n", "sid", "gid", "prefix", "bits"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), pa.array(gids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bitmaps, pa.list_(pa.int64()))],
+            ["row", "id", "n", "sid", "gid", "prefix", "bits"],
         )
 
 
@@ -121,31 +121,39 @@ def linked(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     """
     if not 0 < num <= den:
         raise ValueError("the threshold lies in (0, 1]")
+    return _linked(df, id, text, k, num, den, lower).select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+
+
+def _linked(df: DataFrame, id: str, text: str, k: int, num: int, den: int, lower: bool) -> DataFrame:
+    """(row, id, n, root, low): a hash of each row's id and text, which also tells rows without an id apart, the size of its
+    set, and, where its set has copies or links, its component's key and least id."""
     spark = df.sparkSession
-    thin = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    thin = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).select(F.xxhash64("id", "text").alias("row"), "id", "text")
     counts = spark.sparkContext.broadcast(shingle_counts(thin, "text", k, lower))
     id_type = thin.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n long, sid binary, gid long, prefix array<long>, bits array<long>"
+    schema = f"row long, id {id_type}, n long, sid binary, gid long, prefix array<long>, bits array<long>"
     docs = written(thin.mapInArrow(lambda b: _prefixes(b, counts, k, num, den, lower), schema), "prefixes")
 
-    # equal sets are one vertex; its document of least id stands for it
-    sets = docs.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    # equal sets are one vertex; one of its documents stands for it
+    sets = docs.where("sid is not null").groupBy("sid").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.count("*").alias("copies"))
     sets = written(sets, "sets")
     # the smallest size that can link with a different set: n shingles of n + 1
     least = next((n for n in range(1, den + 1) if (n + 1) * num <= n * den), None)
     if least is None:  # only equal sets link
-        return _labelled(docs, sets, sets.select("sid", F.col("sid").alias("root")).limit(0), id_type)
+        return _labelled(docs, sets, sets.select("sid", F.col("sid").alias("root")).limit(0))
     vertices = docs.where(F.col("n") >= least)
     members = written(vertices.groupBy("sid", "gid", "n").agg(F.first("bits").alias("bits")), "members")
     groups = vertices.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), (F.min("sid") != F.max("sid")).alias("several"))
+    groups = written(groups, "groups")
     posted = groups.select(F.posexplode("prefix").alias("pos", "shingle"), "gid", "n", "several")
     # a posting is its shingle, its group and one number for size, place and whether the group has several members
     packed = F.shiftleft("n", 32) + F.shiftleft(F.col("pos").cast("long"), 1) + F.col("several").cast("long")
     posted = posted.select("shingle", "gid", packed.alias("at"))
     lists = posted.groupBy("shingle").agg(F.count("*").alias("size"), F.max(F.col("at").bitwiseAND(F.lit(1))).alias("several"), F.min("gid").alias("pgid"))
-    lists = lists.where("size > 1 or several = 1").select("shingle", "pgid")
+    lists = written(lists.where("size > 1 or several = 1").select("shingle", "pgid"), "shared")
     n_pos = (F.shiftright("at", 32).alias("n"), F.shiftright(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), 1).alias("pos"))
     entries = written(posted.join(lists, "shingle").select("shingle", "gid", *n_pos, "pgid"), "lists")
+    drop(groups, lists)
 
     # first round: each group with the pivots of its lists, and each pivot with itself if it has several members
     pivots = entries.where("gid = pgid").select("shingle", F.col("n").alias("pn"), F.col("pos").alias("ppos"))
@@ -161,17 +169,20 @@ def linked(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     named = members.join(root, members["sid"] == root["id"], "left").withColumn("c", F.xxhash64(F.coalesce("root", "sid")))
     named = written(named.select("sid", "gid", "bits", "c"), "named")
     comps = named.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    entry = written(entries.select("shingle", "gid", "n", "pos").join(comps, "gid"), "spread")
+    spread = written(entries.select("shingle", "gid", "n", "pos").join(comps, "gid"), "spread")
+    drop(entries, members)
+    entry = spread
     mixed = entry.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("shingle")
     entry = entry.select("shingle", "gid", "n", "pos").join(written(mixed, "mixed"), "shingle", "left_semi")
-    # beside a group that is one set, the first half of its bitmap, so that postings can be told apart where they meet
-    half = [F.when(F.count("*") == 1, F.max(F.get("bits", F.lit(i)))).alias(f"w{i}") for i in range(HALF)]
-    entry = written(entry.join(named.groupBy("gid", "c").agg(*half), "gid"), "mixed")
+    # beside a group that is one set its bitmap, so that postings can be told apart where they meet
+    whole = [F.when(F.count("*") == 1, F.max(F.get("bits", F.lit(i)))).alias(f"w{i}_") for i in range(WORDS)]
+    entry = written(entry.join(named.groupBy("gid", "c").agg(*whole), "gid"), "mixed")
     parts = entry.groupBy("shingle", "c").agg(F.count("*").alias("size"))
     main = written(parts.groupBy("shingle").agg(F.max(F.struct("size", "c"))["c"].alias("main")), "main")
     bits = named.groupBy("gid", "c").agg(F.collect_list(F.struct("sid", "bits")).alias("sets"))
+    drop(spread)
     entry = entry.join(main, "shingle")
-    words = [f"w{i}" for i in range(HALF)]
+    words = [f"w{i}_" for i in range(WORDS)]
     names = {c: f"{c}2" for c in ("gid", "n", "pos", "c", *words)}
     small = entry.where("c != main").select("shingle", "gid", "n", "pos", "c", *words)
     every = entry.select(F.col("shingle").alias("shingle2"), "main", *[F.col(c).alias(d) for c, d in names.items()])
@@ -191,14 +202,15 @@ def linked(df: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, nu
     if not more.isEmpty():
         edges = links.union(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
         root = written(components(edges), "roots")
-    return _labelled(docs, sets, root.select(F.col("id").alias("sid"), "root"), id_type)
+    drop(named, second)
+    return _labelled(docs, sets, root.select(F.col("id").alias("sid"), "root"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, lower: bool, num: int, den: int) -> DataFrame:
     """The pairs (x, y) of set ids that link, judged on the whole sets, which are read again from one document each."""
     wanted = pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct()
-    ids = sets.join(wanted, "sid", "left_semi").select("id")
-    texts = semi_by_size(docs, ids.distinct(), ["id"])
+    rows = written(sets.join(wanted, "sid", "left_semi").select("row").distinct(), "wanted")
+    texts = semi_by_size(docs, rows, ["row"])
     found = texts.select("text").mapInArrow(lambda b: _sets(b, k, lower), "sid binary, set array<long>")
     found = written(found.dropDuplicates(["sid"]), "sets")
     left = pairs.join(found.select(F.col("sid").alias("x"), F.col("set").alias("sx")), "x")
@@ -208,13 +220,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, lower:
     return rows.where(_enough(F.col("shared"), F.col("n"), F.col("m"), num, den)).select("x", "y")
 
 
-def _labelled(docs: DataFrame, sets: DataFrame, root: DataFrame, id_type: str) -> DataFrame:
+def _labelled(docs: DataFrame, sets: DataFrame, root: DataFrame) -> DataFrame:
     """Each document with its component's least id; only sets with copies or links need a look-up."""
     tied = sets.join(root, "sid", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "sid"))
     low = tied.groupBy("root").agg(F.min("id").alias("low"))
-    labels = written(tied.select("sid", "root").join(low, "root").select("sid", "low"), "labels")
-    rows = docs.select("id", "n", "sid").join(labels, "sid", "left")
-    return rows.select("id", F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
+    labels = written(tied.select("sid", "root").join(low, "root").select("sid", "root", "low"), "labels")
+    return docs.select("row", "id", "n", "sid").join(labels, "sid", "left").select("row", "id", "n", "root", "low")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +233,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least doc_id) of each group at 0.8 or more on five-word shingles, with its own columns."""
-    rows = linked(docs, k=5, num=80, den=100)
-    gone = written(rows.where("id != component_id").select(F.col("id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One document of each group at 0.8 or more on five-word shingles, with its own columns: the least by doc_id (null
+    last), then by a hash of id and text. Documents without a word link with nothing and stay."""
+    rows = written(_linked(docs, "doc_id", "text", 5, 80, 100, True).where("root is not null").select("row", "id", "root"), "tied")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"].alias("best"))
+    rows = rows.join(best, "root")
+    gone = written(rows.where("row <> best").select(F.col("row").alias("__gone")).distinct(), "gone")
+    row = F.xxhash64("doc_id", "text")
+    left = docs.join(gone, row == gone["__gone"], "left_anti")
+    again = written(rows.where("row = best").groupBy("row").agg(F.count("*").alias("times")).where("times > 1").select(F.col("row").alias("__again")), "again")
+    if again.isEmpty():
+        return left
+    once = left.join(again, row == again["__again"], "left_semi").withColumn("__row", row).dropDuplicates(["__row"]).drop("__row")
+    return left.join(again, row == again["__again"], "left_anti").union(once)
 
 
 SQL = r"""

@@ -328,6 +328,21 @@ def test_ngram_join(spark, empty, odd):
         ngram_join.linked(df, num=101)
 
 
+def test_ngram_join_of_odd_rows(spark):
+    rnd = random.Random(21)
+    text = invented(rnd, 60)
+    near = " ".join([*text[:-1], "changed"])
+    rows = [(4, " ".join(text)), (None, near), (7, " ".join(invented(rnd, 60))), (None, "x y z"), (None, " ".join(text[:-1])), (9, "lone word"), (9, "lone word"), (7, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sid", F.lit(1)).withColumn("row", F.lit("r"))
+    got = collections.Counter((r.id, r.component_id) for r in ngram_join.linked(df).collect())
+    assert got == {(4, 4): 1, (None, 4): 2, (7, 7): 1, (None, None): 1, (9, 9): 2, (7, 4): 1}
+    left = ngram_join.stage(spark, df, "")
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted((i or 0, t) for i, t in [rows[0], rows[2], rows[3], rows[5]])
+    huge = " ".join(invented(rnd, 50_000))
+    assert {r.component_id for r in ngram_join.linked(spark.createDataFrame([(1, huge), (2, huge + " more")], "doc_id long, text string")).collect()} == {1}
+
+
 def test_shingle_hashes_agree_with_sets():
     rnd = random.Random(2)
     texts = [" ".join(rnd.choice(["a", "b", "aa", "é", "日"]) for _ in range(rnd.randint(0, 30))) + rnd.choice(["", "\n", "\x0b x"]) for _ in range(300)] + [None, "x" * (kernels.CHUNK + 5) + " y z"]
