@@ -54,83 +54,128 @@ def read_model(path: str) -> dict:
 class Transducer:
     """normaliser o pieces o byte fallback, composed lazily with one input at a time.
 
-    The normaliser maps a blank to the mark and puts one mark in front. The piece transducer has an arc for each piece
-    and one for each character outside the vocabulary, which the fallback transducer rewrites to byte pieces. Its
-    states remember the piece last read, and an arc's weight in the tropical semiring depends on both: 0 if merging
-    the two texts by score ends in exactly these two pieces, infinite otherwise. A path has a finite weight only if
-    it is what merging the whole text gives, and there is one such path, so one state survives at each position.
+    Normaliser: puts one mark in front of the text and rewrites each blank to the mark, each other character to itself.
+    Pieces: a tree of characters whose leaves write piece ids; its states remember the piece last written. Byte
+    fallback: a character that is no piece is rewritten to the byte pieces of its UTF-8 form. The weight of an arc that
+    writes a piece after another is a number in the tropical semiring: the piece's merge rank, or infinity if merging
+    the two texts by rank would not end in just these two pieces. A sequence of pieces all of whose neighbours may stand
+    side by side is what merging the whole text gives, so finite paths are right and the shortest is found by adding
+    weights along arcs and keeping the least sum at each position.
+
+    Compiled once from the model: the tree, the last merge inside each piece, and the table of the pairs of pieces that
+    merge, by which a weight is found without merging any text.
     """
 
     def __init__(self, model: dict):
-        self.ids, self.scores, self.out = model["texts"], model["scores"], model["out"]
+        self.ids, self.out = model["texts"], model["out"]
         self.byte_ids = model["bytes"]
         self.unknown = model["unknown"]
         self.prefix = MARK if model["prefix"] else ""
-        self.texts = {i: p for p, i in self.ids.items()}
-        # the piece transducer's states: a tree of characters, a piece's id under None
-        self.tree: dict = {}
-        for piece, i in self.ids.items():
-            node = self.tree
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[None] = i
+        self.normal = {" ": MARK}
         # No piece has a mark after another character, and controls outside the vocabulary join nothing: a text
         # falls into segments there, whose paths are independent.
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that span words are not supported")
         cut = "".join(re.escape(c) for c in "\n\t\r" if not any(c in p for p in self.ids))
         self.segments = re.compile(f"[{cut}]|{MARK}*[^{MARK}{cut}]+|{MARK}+" if cut else f"{MARK}*[^{MARK}]+|{MARK}+")
+        # symbols: the pieces, and characters inside pieces that are none themselves
+        names = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                names.setdefault(c, len(self.out) + len(names))
+        order = {s: k for k, s in enumerate(sorted(set(model["scores"].values()), reverse=True))}
+        self.rank = {i: order[model["scores"][p]] if p in model["scores"] else len(order) for p, i in names.items()}
+        self.pairs: dict[int, int] = {}  # left << 32 | right -> rank of what they merge into
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.tree: dict = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                if p[:k] in names and p[k:] in names:
+                    self.pairs[names[p[:k]] << 32 | names[p[k:]]] = self.rank[i]
+        for p, i in self.ids.items():
+            if len(p) > 1:
+                half = self.last_merge(p, names)
+                if half is None:
+                    continue  # merging never makes this piece
+                self.halves[i] = half
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[None] = i
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.weights: dict[int, float] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging the best-scored adjacent pair, leftmost first, makes of a short text."""
-        parts, score = list(text), self.scores.get
-        pairs = [score(a + b, -INF) for a, b in zip(parts, parts[1:])]
-        while pairs and (best := max(pairs)) > -INF:
-            i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = score(parts[i] + parts[i + 1], -INF)
-            if i:
-                pairs[i - 1] = score(parts[i - 1] + parts[i], -INF)
-        return parts
-
-    def weight(self, last: int, piece: int) -> float:
-        """Of the arc that reads a piece in the state after `last` (START, or OUTSIDE after a character that is none)."""
-        key = (last + 2) << 32 | piece
-        w = self.weights.get(key)
-        if w is None:
-            parts = [self.texts[i] for i in (last, piece) if i >= 0]
-            w = 0.0 if self.merged("".join(parts)) == parts else INF
+    def last_merge(self, piece: str, names: dict[str, int]) -> tuple[int, int] | None:
+        """The two symbols that merging joins last in a piece's text, None if it does not end in the piece."""
+        parts = [names[c] for c in piece]
+        texts = list(piece)
+        while len(parts) > 1:
+            ranks = [self.pairs.get(a << 32 | b, INF) for a, b in zip(parts, parts[1:])]
+            k = ranks.index(min(ranks))
+            if ranks[k] == INF:
+                return None
+            if len(parts) == 2:
+                return parts[0], parts[1]
+            texts[k : k + 2] = [texts[k] + texts[k + 1]]
+            parts[k : k + 2] = [names[texts[k]]]
+        return None
+
+    def weight(self, left: int, right: int) -> float:
+        """Of the arc that writes `right` after `left` (START at the beginning and after what joins nothing).
+
+        Goes back in time: the parts of both that touch, from the last merge of either to the single characters, must
+        not merge before one of them grows; of equal ranks the leftmost merge comes first.
+        """
+        key = (left + 2) << 32 | right
+        found = self.weights.get(key)
+        if found is None:
+            pairs, halves, rank = self.pairs, self.halves, self.rank
+            found, limit, a, b = float(rank[right]), INF, left, right
+            while a >= 0:
+                if pairs.get(a << 32 | b, INF) < limit:
+                    found = INF
+                    break
+                x, y = halves.get(a), halves.get(b)
+                if x is None and y is None:
+                    break
+                if y is None or (x is not None and rank[a] > rank[b]):
+                    limit, a = rank[a], x[1]
+                else:
+                    limit, b = rank[b] + 1, y[0]
             if len(self.weights) >= WEIGHTS:
                 self.weights.clear()
-            self.weights[key] = w
-        return w
+            self.weights[key] = found
+        return found
 
     def path(self, segment: str) -> bytes:
-        """Ids along the shortest path, as 32-bit numbers."""
+        """Ids along the shortest path through the composed machine, as 32-bit numbers. The segment is normalised."""
         weights, tree, n = self.weights, self.tree, len(segment)
-        last: list = [None] * (n + 1)  # the piece by which the shortest path reaches each position, and where it began
+        least = [INF] * (n + 1)  # the least sum by which each position is reached, by which piece, begun where
+        last = [START] * (n + 1)
         begun = [0] * (n + 1)
-        last[0] = START
+        least[0] = 0.0
         for start in range(n):
+            reached = least[start]
+            if reached == INF:
+                continue
             before = last[start]
             base = (before + 2) << 32
             node = tree
-            for end in range(start + 1, n + 1):
-                node = node.get(segment[end - 1])
+            end = start
+            while end < n:
+                node = node.get(segment[end])
                 if node is None:
                     break
+                end += 1
                 piece = node.get(None)
-                if piece is not None and last[end] is None:
+                if piece is not None:
                     w = weights.get(base | piece)
-                    if (self.weight(before, piece) if w is None else w) < INF:
-                        last[end], begun[end] = piece, start
-            if last[start + 1] is None and segment[start] not in self.ids:
-                last[start + 1], begun[start + 1] = OUTSIDE, start
+                    sum_ = reached + (self.weight(before, piece) if w is None else w)
+                    if sum_ < least[end]:
+                        least[end], last[end], begun[end] = sum_, piece, start
+            if segment[start] not in self.ids and reached < least[start + 1]:
+                least[start + 1], last[start + 1], begun[start + 1] = reached, OUTSIDE, start
         found: list[int] = []
         end = n
         while end:
@@ -147,7 +192,7 @@ class Transducer:
         if not text:
             return
         paths, out = self.paths, []
-        for segment in self.segments.findall(self.prefix + text.replace(" ", MARK)):
+        for segment in self.segments.findall(self.prefix + text.replace(" ", self.normal[" "])):
             found = paths.get(segment)
             if found is None:
                 found = self.older.get(segment) or self.path(segment)
@@ -168,7 +213,7 @@ _ready: dict[str, Transducer] = {}
 
 
 def _transducer(key: str, model) -> Transducer:
-    """The worker's transducer of the broadcast model, compiled once."""
+    """The worker's transducer of the broadcast model, compiled once a worker."""
     if key not in _ready:
         _ready[key] = Transducer(model.value)
     return _ready[key]
@@ -238,6 +283,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the ids of each text."""
-    rows = encode(docs.select("doc_id", "source", "text"), _model_path())
-    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """doc_id, source, the ids of each text, the md5 of what they decode to, and whether that is the text (with marks as blanks)."""
+    rows = decode(encode(docs.select("doc_id", "source", "text"), _model_path()), _model_path())
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(" "))
+    return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", F.md5("decoded").alias("decoded_md5"), (F.md5("decoded") == F.md5(plain)).alias("round_trip"))
