@@ -59,8 +59,8 @@ class Transducer:
     fallback: a character that is no piece is rewritten to the byte pieces of its UTF-8 form. The weight of an arc that
     writes a piece after another is a number in the tropical semiring: the piece's merge rank, or infinity if merging
     the two texts by rank would not end in just these two pieces. A sequence of pieces all of whose neighbours may stand
-    side by side is what merging the whole text gives, so finite paths are right and the shortest is found by adding
-    weights along arcs and keeping the least sum at each position.
+    side by side is what merging the whole text gives, so there is one path with a finite sum of weights, and it
+    is right.
 
     Compiled once from the model: the tree, the last merge inside each piece, and the table of the pairs of pieces that
     merge, by which a weight is found without merging any text.
@@ -148,45 +148,64 @@ class Transducer:
             self.weights[key] = found
         return found
 
+    def arcs(self, segment: str, start: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs that leave a position, the shortest first; OUTSIDE where a character is no piece."""
+        node, end, n, found = self.tree, start, len(segment), []
+        while end < n:
+            node = node.get(segment[end])
+            if node is None:
+                break
+            end += 1
+            piece = node.get(None)
+            if piece is not None:
+                found.append((end, piece))
+        if segment[start] not in self.ids:
+            found.insert(0, (start + 1, OUTSIDE))
+        return found
+
     def path(self, segment: str) -> bytes:
-        """Ids along the shortest path through the composed machine, as 32-bit numbers. The segment is normalised."""
-        weights, tree, n = self.weights, self.tree, len(segment)
-        least = [INF] * (n + 1)  # the least sum by which each position is reached, by which piece, begun where
-        last = [START] * (n + 1)
-        begun = [0] * (n + 1)
-        least[0] = 0.0
-        for start in range(n):
-            reached = least[start]
-            if reached == INF:
-                continue
-            before = last[start]
-            base = (before + 2) << 32
-            node = tree
-            end = start
-            while end < n:
-                node = node.get(segment[end])
-                if node is None:
+        """Ids along the shortest path through the composed machine, as 32-bit numbers. The segment is normalised.
+
+        Sums of weights are carried along, arcs with an infinite sum are dropped, and of two finite sums the lesser would
+        win; but as at most one path has a finite sum, the search goes on from the arc that reaches farthest and turns
+        back only from positions that no finite arc leaves.
+        """
+        weights, n = self.weights, len(segment)
+        steps: list[tuple[int, float, list[tuple[int, int]]]] = []  # piece, sum so far, arcs not yet tried
+        end, last, reached = 0, START, 0.0
+        todo = self.arcs(segment, 0)
+        found: list[tuple[int, int]] = []  # pieces of the path, with their ends
+        dead: set[tuple[int, int]] = set()  # states that no finite path goes on from
+        while end < n:
+            while todo:
+                stop, piece = todo.pop()
+                if dead and (stop, piece) in dead:
+                    continue
+                if piece == OUTSIDE:
+                    w = 0.0
+                else:
+                    w = weights.get((last + 2) << 32 | piece)
+                    if w is None:
+                        w = self.weight(last, piece)
+                if reached + w < INF:
+                    steps.append((last, reached, todo))
+                    found.append((stop, piece))
+                    end, last, reached = stop, piece, reached + w
+                    todo = self.arcs(segment, end) if end < n else []
                     break
-                end += 1
-                piece = node.get(None)
-                if piece is not None:
-                    w = weights.get(base | piece)
-                    sum_ = reached + (self.weight(before, piece) if w is None else w)
-                    if sum_ < least[end]:
-                        least[end], last[end], begun[end] = sum_, piece, start
-            if segment[start] not in self.ids and reached < least[start + 1]:
-                least[start + 1], last[start + 1], begun[start + 1] = reached, OUTSIDE, start
-        found: list[int] = []
-        end = n
-        while end:
-            if last[end] >= 0:
-                found.append(last[end])
+            else:
+                last, reached, todo = steps.pop()
+                dead.add(found.pop())
+                end = found[-1][0] if found else 0
+        ids: list[int] = []
+        for stop, piece in found:
+            if piece >= 0:
+                ids.append(piece)
             elif self.byte_ids:
-                found.extend(self.byte_ids[b] for b in reversed(segment[end - 1].encode("utf-8", "surrogatepass")))
+                ids.extend(self.byte_ids[b] for b in segment[stop - 1].encode("utf-8", "surrogatepass"))
             else:
-                found.append(self.unknown)
-            end = begun[end]
-        return array("i", reversed(found)).tobytes()
+                ids.append(self.unknown)
+        return array("i", ids).tobytes()
 
     def encode(self, text: str, into: array) -> None:
         if not text:
