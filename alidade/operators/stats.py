@@ -11,11 +11,25 @@ from alidade.functions.angles import rounded as R
 from alidade.operators import surface as s
 
 
+#: Most rows that a model is fitted to: each candidate meets each of them.
+MOST_FITTED = 100_000
+
+
 def xyz_stats(points: DataFrame) -> DataFrame:
-    """Per axis: low, high, width, centre, mean and exact median."""
+    """Per axis: low, high, width, centre, mean and exact median.
+
+    The median is an order statistic over counted values, so that no task holds a column.
+    """
     rows = points.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in "xyz"])).alias("r")).select("r.*")
     low, high = F.min("v"), F.max("v")
-    return rows.groupBy("axis").agg(R(low).alias("low"), R(high).alias("high"), R(high - low).alias("width"), R((high + low) / 2).alias("centre"), R(F.avg("v")).alias("mean"), R(F.median("v")).alias("median"))
+    per = rows.groupBy("axis").agg(R(low).alias("low"), R(high).alias("high"), R(high - low).alias("width"), R((high + low) / 2).alias("centre"), R(F.avg("v")).alias("mean"))
+    n = F.col("n")
+    middle = None
+    for a in "xyz":
+        got = order_statistic(points, a, {"below": F.floor((n - 1) / 2), "above": F.floor(n / 2)})
+        one = got.select(F.lit(a).alias("axis"), R((F.col("below") + F.col("above")) / 2).alias("median"))
+        middle = one if middle is None else middle.union(one)
+    return per.join(F.broadcast(middle), "axis", "left")  # three rows
 
 
 def order_statistic(values: DataFrame, column: str, ranks: dict[str, Column]) -> DataFrame:
@@ -102,8 +116,10 @@ def probability_bins(values: DataFrame, column: str, bins: int) -> DataFrame:
 def fit_errors(data: DataFrame, candidates: DataFrame, model: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """(a, b, error) per candidate: signed trapezoid area between model(x, a, b) and y over the range of x.
 
-    data (x, y) is the small side and is broadcast to the candidates; its length is checked by the caller.
+    data (x, y) goes to every candidate, so it may have MOST_FITTED rows at the most (ValueError beyond).
     """
+    if data.limit(MOST_FITTED + 1).count() > MOST_FITTED:
+        raise ValueError(f"a fit takes {MOST_FITTED} rows at the most")
     w = Window.orderBy("x")
     d = data.select("x", "y", F.coalesce(F.lag("x").over(w), F.lit(0.0)).alias("x0"), F.lag("y").over(w).alias("y0"))
     rows = candidates.crossJoin(F.broadcast(d))

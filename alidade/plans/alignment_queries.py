@@ -158,7 +158,7 @@ def _j11(spark, d):
     return al.station_to_xy(stations(spark, d), segments(spark, d)).select("align_id", "sid", "seq")
 
 
-_PP = "pp AS (SELECT r AS align_id, c_custkey AS pid, 1000.0::DOUBLE*r+CAST(c_custkey*37%400 AS DOUBLE)+0.25::DOUBLE AS px, CAST(c_custkey*91%400 AS DOUBLE)-50+0.125::DOUBLE AS py FROM customer, range(5) t(r) WHERE c_custkey%10=0)"
+_PP = "pp AS (SELECT r AS align_id, c_custkey AS pid, 1000.0::DOUBLE*r+CAST(c_custkey*37%400 AS DOUBLE)+0.25::DOUBLE AS px, CAST(c_custkey*91%400 AS DOUBLE)-50+0.125::DOUBLE AS py FROM customer, range(5) t(r))"
 _AZ = "CASE WHEN {0}<-180 THEN {0}+360 WHEN {0}>180 THEN {0}-360 ELSE {0} END"
 
 
@@ -169,23 +169,14 @@ h AS (SELECT align_id, pid, seq, CASE kind WHEN 'line' THEN ll WHEN 'arc' THEN l
 SELECT align_id, pid, seq, {r6('s0+l')} AS sta, {r6('off')} AS off, CAST(row_number() OVER (PARTITION BY align_id, pid ORDER BY floor(abs(off)*1e6+0.5), seq) AS INT) AS place FROM h WHERE l>=0 AND l<=len"""
 
 
-def _stationed(spark, d, which):
-    c = x.table(spark, d, "customer").where(which)
+@add("a21_xy_to_station", _A21)
+def _a21(spark, d):
+    c = x.table(spark, d, "customer")
     p = c.withColumn("align_id", F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<bigint>"))).select("align_id", F.col("c_custkey").alias("pid"), (F.col("align_id") * 1000.0 + (F.col("c_custkey") * 37 % 400).cast("double") + 0.25).alias("px"), ((F.col("c_custkey") * 91 % 400).cast("double") - 50 + 0.125).alias("py"))
     h = al.xy_to_station(p, segments(spark, d))
     return h.select("align_id", "pid", "seq", R(F.col("sta")).alias("sta"), R(F.col("off")).alias("off"), "place")
 
 
-@add("a21_xy_to_station", _A21)
-def _a21(spark, d):
-    return _stationed(spark, d, "c_custkey % 10 = 0")
-
-
-@add("a21_xy_to_station_all", _A21.replace(" WHERE c_custkey%10=0", ""))
-def _a21_all(spark, d):
-    return _stationed(spark, d, "true")
-
-
 _RG = "rg AS (SELECT align_id, CAST(row_number() OVER (PARTITION BY align_id ORDER BY seq) AS INT) AS region, 100.0::DOUBLE*seq AS b, 100.0::DOUBLE*seq+len AS e FROM el)"
 
 
@@ -217,14 +208,8 @@ def _g11(spark, d):
     return al.rollup(segments(spark, d)).withColumn("last_arc_turn", R(F.col("last_arc_turn")))
 
 
-@add("a09_order_pieces", f"WITH {_CH} SELECT seq AS pid, CAST(seq AS BIGINT) AS place FROM sg WHERE align_id=1")
+@add("a09_order_pieces", f"WITH {_CH} SELECT align_id, seq AS pid, CAST(seq AS BIGINT) AS place FROM sg")
 def _a09(spark, d):
-    s = segments(spark, d).where("align_id = 1").select(F.col("seq").alias("pid"), "x0", "y0", "x1", "y1")
-    return al.ordered_pieces(s).select("pid", "place")
-
-
-@add("a09_order_pieces_all", f"WITH {_CH} SELECT align_id, seq AS pid, CAST(seq AS BIGINT) AS place FROM sg")
-def _a09_all(spark, d):
     s = segments(spark, d).select("align_id", F.col("seq").alias("pid"), "x0", "y0", "x1", "y1")
     return al.ordered_pieces(s, by="align_id").select("align_id", "pid", "place")
 

@@ -347,32 +347,12 @@ def _t19(spark, d):
     return grids.centred(x.lattice_points(spark, d))
 
 
-_DEL = """a AS (SELECT p.seq AS a, q.seq AS b, r.seq AS c, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2, r.x AS x3, r.y AS y3 FROM s p JOIN s q ON p.seq<q.seq JOIN s r ON q.seq<r.seq),
-cc AS (SELECT *, 2*(x1*(y2-y3)+x2*(y3-y1)+x3*(y1-y2)) AS dd FROM a),
-u AS (SELECT *, ((x1*x1+y1*y1)*(y2-y3)+(x2*x2+y2*y2)*(y3-y1)+(x3*x3+y3*y3)*(y1-y2))/dd AS ux, ((x1*x1+y1*y1)*(x3-x2)+(x2*x2+y2*y2)*(x1-x3)+(x3*x3+y3*y3)*(x2-x1))/dd AS uy FROM cc WHERE dd<>0),
-tri AS (SELECT a, b, c, ux, uy FROM u WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.seq NOT IN (a,b,c) AND (t.x-ux)*(t.x-ux)+(t.y-uy)*(t.y-uy) < (x1-ux)*(x1-ux)+(y1-uy)*(y1-uy)-1e-12))"""
-
-
-@add("t03_delaunay_small", f"WITH {CLOUD}, s AS (SELECT * FROM cloud WHERE seq < 80), {_DEL} SELECT a, b, c FROM tri")
-def _t03(spark, d):
-    pts = x.cloud(spark, d).where("seq < 80").select(F.col("seq").alias("point_id"), "x", "y", "z")
-    t = hull.delaunay(pts)
-    ordered = F.array_sort(F.array("p1", "p2", "p3"))
-    return t.select(ordered[0].alias("a"), ordered[1].alias("b"), ordered[2].alias("c"))
-
-
 @add("t03_delaunay_cloud", None)
 def _t03b(spark, d):
     pts = s.deduplicated(x.cloud(spark, d)).withColumn("point_id", F.monotonically_increasing_id())
     return hull.delaunay(pts.select("point_id", "x", "y", "z"))
 
 
-@add("t05_hull2d", f"""WITH {CLOUD}, e AS (SELECT p.seq AS a, q.seq AS b FROM cloud p JOIN cloud q ON p.seq<>q.seq WHERE p.seq < 400 AND q.seq < 400 AND NOT EXISTS
- (SELECT 1 FROM cloud t WHERE t.seq < 400 AND t.seq NOT IN (p.seq, q.seq) AND (q.x-p.x)*(t.y-p.y)-(q.y-p.y)*(t.x-p.x) < 0)) SELECT DISTINCT a AS point_id FROM e""")
-def _t05(spark, d):
-    return hull.convex_hull(x.cloud(spark, d).where("seq < 400").select(F.col("seq").alias("point_id"), "x", "y")).select("point_id")
-
-
 @add("t05_hull2d_cloud", None)
 def _t05b(spark, d):
     return hull.convex_hull(x.cloud(spark, d).select(F.col("seq").alias("point_id"), "x", "y")).select("point_id")
@@ -468,34 +448,15 @@ def _u04(spark, d):
     return p.select("point_id").join(h, "point_id", "left_anti").join(decimate.dihedral_pick(p, tv, h, 0.5, 0.5), "point_id", "left_anti")
 
 
-@add("l04_edges_by_dihedral", f"WITH {SURF}, {EDGES}, {DIH} SELECT pa, pb, row_number() OVER (ORDER BY floor(dihedral*1000000+0.5) DESC NULLS LAST, pa, pb) AS place FROM dih ORDER BY place LIMIT 50")
+@add("l04_edges_by_dihedral", f"WITH {SURF}, {EDGES}, {DIH} SELECT pa, pb, row_number() OVER (ORDER BY floor(dihedral*1000000+0.5) DESC NULLS LAST, pa, pb) AS place FROM dih")
 def _l04(spark, d):
-    from pyspark.sql import Window
-
-    _, tv = x.lattice(spark, d)
-    e = s.dihedrals(s.edges(tv), tv)
-    top = e.orderBy(R(F.col("dihedral")).desc_nulls_last(), "pa", "pb").limit(50)
-    return top.select("pa", "pb", F.row_number().over(Window.orderBy(R(F.col("dihedral")).desc_nulls_last(), "pa", "pb")).cast("long").alias("place"))
-
-
-@add("l01_triangles_by_corner", f"WITH {SURF} SELECT tri_id, row_number() OVER (ORDER BY xmin, ymin, tri_id) AS place FROM tv ORDER BY place LIMIT 40")
-def _l01(spark, d):
-    from pyspark.sql import Window
-
-    _, tv = x.lattice(spark, d)
-    top = tv.orderBy("xmin", "ymin", "tri_id").limit(40)
-    return top.select("tri_id", F.row_number().over(Window.orderBy("xmin", "ymin", "tri_id")).cast("long").alias("place"))
-
-
-@add("l04_edges_by_dihedral_all", f"WITH {SURF}, {EDGES}, {DIH} SELECT pa, pb, row_number() OVER (ORDER BY floor(dihedral*1000000+0.5) DESC NULLS LAST, pa, pb) AS place FROM dih")
-def _l04_all(spark, d):
     _, tv = x.lattice(spark, d)
     e = s.dihedrals(s.edges(tv), tv).select("pa", "pb", F.coalesce(-F.floor(F.col("dihedral") * 1000000 + 0.5), F.lit(1)).alias("key"))
     return decimate.placed(e, "key", ["pa", "pb"]).select("pa", "pb", "place")
 
 
-@add("l01_triangles_by_corner_all", f"WITH {SURF} SELECT tri_id, row_number() OVER (ORDER BY xmin, ymin, tri_id) AS place FROM tv")
-def _l01_all(spark, d):
+@add("l01_triangles_by_corner", f"WITH {SURF} SELECT tri_id, row_number() OVER (ORDER BY xmin, ymin, tri_id) AS place FROM tv")
+def _l01(spark, d):
     _, tv = x.lattice(spark, d)
     return decimate.placed(tv, "xmin", ["ymin", "tri_id"]).select("tri_id", "place")
 
