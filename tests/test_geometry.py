@@ -194,3 +194,14 @@ def test_sections_and_chords(spark):
     assert [r[0] for r in arc.select(al.in_sweep(F.lit(0.0), F.lit(500.0))).collect()] in ([True], [False])
     box = arc.select(*[e.alias(n) for n, e in al.arc_box().items()]).first()
     assert box.xmin == pytest.approx(0) and box.ymax == pytest.approx(arc.first()["radius"])
+
+
+def test_repeated_probes_come_back_each_time(spark, sf_dir):
+    from alidade.operators import surface
+    from alidade.plans import fixtures
+
+    _, tv = fixtures.lattice(spark, sf_dir)
+    probes = [(1, 2.0, 2.0), (1, 2.0, 2.0), (1, 2.0, 2.0), (2, 4.0, 4.0), (2, 4.0, 4.0), (3, -50.0, 0.0), (3, -50.0, 0.0), (4, 5.3, 7.1)]
+    got = surface.point_results(spark.createDataFrame(probes, "qid long, px double, py double"), tv).collect()
+    assert sorted((r.qid, r.px, r.py) for r in got) == sorted(probes)
+    assert len({r.tri_id for r in got if r.qid == 2}) == 1 and all(r.tri_id is None for r in got if r.qid == 3)
