@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import shutil
 import time
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -85,6 +86,10 @@ def raster_surface(spark: SparkSession, path: str) -> Surface:
     return Surface(p.withColumn("seq", F.col("point_id")), written(tv), None, path)
 
 
+def _times(flags) -> int:
+    return next((int(x[2:]) for x in flags if x.startswith("-x")), 1)
+
+
 @dataclass
 class Session:
     """State between commands, and the commands by name."""
@@ -238,12 +243,20 @@ class Session:
         sinks.write_dxf(sinks.dxf_lines(s.edge_lengths(e, f.points)), self._out(name), ["place"])
 
     def do_save_stats(self, name: str, *flags):
+        """Statistics of later thinnings are appended here; `reset` starts anew."""
         self.stats_path = self._out(name)
+        if "reset" in flags:
+            shutil.rmtree(self.stats_path, ignore_errors=True)
 
-    def _thin(self, p: DataFrame, probability: DataFrame):
-        f = self._surface()
-        kept = decimate.kept(probability.select("point_id", "p"), seed=1)
-        rows = f.points.join(kept.select("point_id", "used"), "point_id")
+    def _main(self) -> Surface:
+        """The loaded surface: thinnings start from it, not from an earlier thinning."""
+        if self.surface is None:
+            raise ValueError("no surface is loaded")
+        return self.surface
+
+    def _thin(self, probability: DataFrame, seed: int):
+        kept = decimate.kept(probability.select("point_id", "p"), seed=seed)
+        rows = self._main().points.join(kept.select("point_id", "used"), "point_id")
         cols = ["seq", "x", "y", "z", "classification"]
         pts = rows.withColumn("classification", F.lit(0)) if "classification" not in rows.columns else rows
         self.derived = build(pts.where("used").select(*cols))
@@ -252,16 +265,18 @@ class Session:
             sinks.append_csv(self.errors(), self.stats_path)
 
     def do_decimate(self, share: str, *flags):
-        f = self._surface()
+        """-sN is the share that folds decide, -xN thins N times with other draws."""
+        f = self._main()
         split = next((float(x[2:]) for x in flags if x.startswith("-s")), 0.5)
-        times = next((int(x[2:]) for x in flags if x.startswith("-x")), 1)
-        for _ in range(times):
-            p = decimate.smart(f.points, f.tv, s.hull_points(f.tv.withColumn("is_valid", F.lit(True))), float(share), split)
-            self._thin(f.points, p)
+        p = decimate.smart(f.points, f.tv, s.hull_points(f.tv.withColumn("is_valid", F.lit(True))), float(share), split)
+        for k in range(_times(flags)):
+            self._thin(p, k + 1)
 
     def do_decimate_random(self, share: str, *flags):
-        f = self._surface()
-        self._thin(f.points, decimate.random_p(f.points, s.hull_points(f.tv.withColumn("is_valid", F.lit(True))), float(share)))
+        f = self._main()
+        p = decimate.random_p(f.points, s.hull_points(f.tv.withColumn("is_valid", F.lit(True))), float(share))
+        for k in range(_times(flags)):
+            self._thin(p, k + 1)
 
     def do_decimate_multiple(self, name: str, *skips):
         """The same file at several skips; statistics are appended for each."""
