@@ -19,7 +19,8 @@ REMEMBERED = 1 << 18
 #: Pairs of pieces whose weights a worker remembers; it starts again when they are full.
 WEIGHTS = 1 << 19
 INF = float("inf")
-START, OUTSIDE = -1, -2
+#: Before the first piece, after or for a character that is no piece, and no piece at all; the first two index tables from the end.
+START, OUTSIDE, NONE = -1, -2, -3
 
 
 def read_model(path: str) -> dict:
@@ -87,24 +88,37 @@ class Transducer:
         self.rank = {i: order[model["scores"][p]] if p in model["scores"] else len(order) for p, i in names.items()}
         self.pairs: dict[int, int] = {}  # left << 32 | right -> rank of what they merge into
         self.halves: dict[int, tuple[int, int]] = {}
-        self.tree: dict = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 if p[:k] in names and p[k:] in names:
                     self.pairs[names[p[:k]] << 32 | names[p[k:]]] = self.rank[i]
+        made = {}
         for p, i in self.ids.items():
             if len(p) > 1:
                 half = self.last_merge(p, names)
                 if half is None:
                     continue  # merging never makes this piece
                 self.halves[i] = half
-            node = self.tree
-            for c in p:
-                node = node.setdefault(c, {})
-            node[None] = i
+            made[p] = i
+        # character -> (node behind it, longest piece so far); shorter[i] is the longest piece that begins piece i
+        self.tree: dict = {}
+        self.longest = max(map(len, made), default=1)
+        self.size, self.shorter = ([v] * (len(self.out) + 2) for v in (1, NONE))
+        for p in sorted(made, key=len):
+            node, before = self.tree, OUTSIDE
+            for c in p[:-1]:
+                node, before = node.setdefault(c, ({}, before))
+            node[p[-1]] = ({}, made[p])
+            self.size[made[p]] = len(p)
+            self.shorter[made[p]] = before if len(p) > 1 else NONE
         self.paths: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.weights: dict[int, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of weights: after each piece, those of the pieces that were asked for."""
+        self.weights: list[dict[int, float]] = [{OUTSIDE: 0.0} for _ in range(len(self.out) + 2)]
+        self.known = 0
 
     def last_merge(self, piece: str, names: dict[str, int]) -> tuple[int, int] | None:
         """The two symbols that merging joins last in a piece's text, None if it does not end in the piece."""
@@ -127,40 +141,23 @@ class Transducer:
         Goes back in time: the parts of both that touch, from the last merge of either to the single characters, must
         not merge before one of them grows; of equal ranks the leftmost merge comes first.
         """
-        key = (left + 2) << 32 | right
-        found = self.weights.get(key)
-        if found is None:
-            pairs, halves, rank = self.pairs, self.halves, self.rank
-            found, limit, a, b = float(rank[right]), INF, left, right
-            while a >= 0:
-                if pairs.get(a << 32 | b, INF) < limit:
-                    found = INF
-                    break
-                x, y = halves.get(a), halves.get(b)
-                if x is None and y is None:
-                    break
-                if y is None or (x is not None and rank[a] > rank[b]):
-                    limit, a = rank[a], x[1]
-                else:
-                    limit, b = rank[b] + 1, y[0]
-            if len(self.weights) >= WEIGHTS:
-                self.weights.clear()
-            self.weights[key] = found
-        return found
-
-    def arcs(self, segment: str, start: int) -> list[tuple[int, int]]:
-        """(end, piece) of the arcs that leave a position, the shortest first; OUTSIDE where a character is no piece."""
-        node, end, n, found = self.tree, start, len(segment), []
-        while end < n:
-            node = node.get(segment[end])
-            if node is None:
+        pairs, halves, rank = self.pairs, self.halves, self.rank
+        found, limit, a, b = float(rank[right]), INF, left, right
+        while a >= 0:
+            if pairs.get(a << 32 | b, INF) < limit:
+                found = INF
+                break
+            x, y = halves.get(a), halves.get(b)
+            if x is None and y is None:
                 break
-            end += 1
-            piece = node.get(None)
-            if piece is not None:
-                found.append((end, piece))
-        if segment[start] not in self.ids:
-            found.insert(0, (start + 1, OUTSIDE))
+            if y is None or (x is not None and rank[a] > rank[b]):
+                limit, a = rank[a], x[1]
+            else:
+                limit, b = rank[b] + 1, y[0]
+        if self.known >= WEIGHTS:
+            self.forget()
+        self.weights[left][right] = found
+        self.known += 1
         return found
 
     def path(self, segment: str) -> bytes:
@@ -168,59 +165,66 @@ class Transducer:
 
         Sums of weights are carried along, arcs with an infinite sum are dropped, and of two finite sums the lesser would
         win; but as at most one path has a finite sum, the search goes on from the arc that reaches farthest and turns
-        back only from positions that no finite arc leaves.
+        back only from positions that no finite arc leaves. The arcs that leave a position are its longest piece and the
+        pieces that begin it, the longest first.
         """
-        weights, n = self.weights, len(segment)
-        steps: list[tuple[int, float, list[tuple[int, int]]]] = []  # piece, sum so far, arcs not yet tried
-        end, last, reached = 0, START, 0.0
-        todo = self.arcs(segment, 0)
-        found: list[tuple[int, int]] = []  # pieces of the path, with their ends
+        weights, size, shorter, tree, longest, n = self.weights, self.size, self.shorter, self.tree, self.longest, len(segment)
+        found: list[int] = []
+        sums = [0.0]
+        end, last = 0, START
         dead: set[tuple[int, int]] = set()  # states that no finite path goes on from
         while end < n:
-            while todo:
-                stop, piece = todo.pop()
-                if dead and (stop, piece) in dead:
-                    continue
-                if piece == OUTSIDE:
-                    w = 0.0
-                else:
-                    w = weights.get((last + 2) << 32 | piece)
-                    if w is None:
-                        w = self.weight(last, piece)
-                if reached + w < INF:
-                    steps.append((last, reached, todo))
-                    found.append((stop, piece))
-                    end, last, reached = stop, piece, reached + w
-                    todo = self.arcs(segment, end) if end < n else []
+            node, piece = tree, OUTSIDE
+            for c in segment[end : end + longest]:
+                hit = node.get(c)
+                if hit is None:
                     break
-            else:
-                last, reached, todo = steps.pop()
-                dead.add(found.pop())
-                end = found[-1][0] if found else 0
-        ids: list[int] = []
-        for stop, piece in found:
+                node, piece = hit
+            while True:
+                w = weights[last].get(piece)
+                if w is None:
+                    w = self.weight(last, piece)
+                    weights = self.weights
+                total = sums[-1] + w
+                if total < INF and not (dead and (end + size[piece], piece) in dead):
+                    break
+                piece = shorter[piece]
+                while piece == NONE:
+                    dead.add((end, last))
+                    end -= size[last]
+                    piece = shorter[found.pop()]
+                    sums.pop()
+                    last = found[-1] if found else START
+            found.append(piece)
+            sums.append(total)
+            end += size[piece]
+            last = piece
+        if OUTSIDE not in found:
+            return array("i", found).tobytes()
+        ids, end = array("i"), 0
+        for piece in found:
             if piece >= 0:
                 ids.append(piece)
             elif self.byte_ids:
-                ids.extend(self.byte_ids[b] for b in segment[stop - 1].encode("utf-8", "surrogatepass"))
+                ids.extend(self.byte_ids[b] for b in segment[end].encode("utf-8", "surrogatepass"))
             else:
                 ids.append(self.unknown)
-        return array("i", ids).tobytes()
+            end += size[piece]
+        return ids.tobytes()
 
     def encode(self, text: str, into: array) -> None:
         if not text:
             return
-        paths, out = self.paths, []
-        for segment in self.segments.findall(self.prefix + text.replace(" ", self.normal[" "])):
-            found = paths.get(segment)
+        segments = self.segments.findall(self.prefix + text.replace(" ", self.normal[" "]))
+        out = list(map(self.paths.get, segments))
+        for k, found in enumerate(out):
             if found is None:
-                found = self.older.get(segment) or self.path(segment)
+                segment = segments[k]
+                found = out[k] = self.paths.get(segment) or self.older.get(segment) or self.path(segment)
                 if len(segment) <= 64:
-                    if len(paths) >= REMEMBERED:
-                        self.older, self.paths = paths, {}
-                        paths = self.paths
-                    paths[segment] = found
-            out.append(found)
+                    if len(self.paths) >= REMEMBERED:
+                        self.older, self.paths = self.paths, {}
+                    self.paths[segment] = found
         into.frombytes(b"".join(out))
 
     def decode(self, ids) -> str:
