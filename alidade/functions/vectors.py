@@ -73,6 +73,31 @@ def in_box(x: Column, y: Column, box: tuple | None) -> Column:
     return x.between(F.lit(float(box[0])), F.lit(float(box[2]))) & y.between(F.lit(float(box[1])), F.lit(float(box[3])))
 
 
+def in_box3(x: Column, y: Column, z: Column, box: tuple | None) -> Column:
+    """As in_box, with (xmin, ymin, xmax, ymax, zmin, zmax)."""
+    if box is None:
+        return F.lit(True)
+    return in_box(x, y, box) & z.between(F.lit(float(box[4])), F.lit(float(box[5])))
+
+
+def ray_offset(px: Column, py: Column, x0: Column, y0: Column, az_deg: Column) -> Column:
+    """Distance of a point from the line of a ray, right of its direction positive."""
+    a = F.radians(az_deg)
+    return (px - x0) * F.cos(a) - (py - y0) * F.sin(a)
+
+
+def ray_line(x0: Column, z0: Column, slope: Column, advance: Column) -> dict[str, Column]:
+    """m and b of z = m x + b for a sloped ray that advances to greater (1) or lesser (-1) x; NULL slope is vertical."""
+    m = slope * advance
+    return {"m": m, "b": z0 - x0 * m}
+
+
+def ray_elevation(x: Column, x0: Column, z0: Column, slope: Column) -> Column:
+    """Elevation of a sloped ray at x; NULL where it is vertical or the run has not the sign of the slope."""
+    run = x - x0
+    return F.when(F.signum(run) == F.signum(slope), z0 + run * slope)
+
+
 def boxes_overlap(a: V, b: V) -> Column:
     """a and b are (xmin, ymin, xmax, ymax); touching boxes overlap."""
     return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])

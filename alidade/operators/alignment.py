@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alidade.functions import vectors as v
-from alidade.functions.angles import azimuth, deflection, pmod, radius
+from alidade.functions.angles import azimuth, deflection, pmod, radius, root_by_false_position
 from alidade.operators.ranges import lookup
 
 KIND_TOLERANCE = 5e-5
@@ -122,6 +122,102 @@ def arc_from_bulge(x0: Column, y0: Column, x1: Column, y1: Column, bulge: Column
     return {"az0": az0, "turn": turn, "radius": r, "length": sweep * r}
 
 
+def arc_from_centre(x0: Column, y0: Column, cx: Column, cy: Column, x1: Column, y1: Column, d: Column, outside: Column) -> dict[str, Column]:
+    """Arc from begin, centre and end: the shorter way round, or (`outside`) the way that turns to d, right 1, left -1.
+
+    All NULL if both ends are not on one circle, within 0.00014.
+    """
+    r, r1 = v.base_length(x0 - cx, y0 - cy), v.base_length(x1 - cx, y1 - cy)
+    a0, a1 = azimuth(x0 - cx, y0 - cy), azimuth(x1 - cx, y1 - cy)
+    turn = F.when(F.abs(r - r1) <= 0.00014, F.when(outside, d * pmod((a1 - a0) * d, 360.0)).otherwise(deflection(a0, a1)))
+    side = F.signum(turn)
+    return {"radius": F.when(turn.isNotNull(), r), "turn": turn, "length": F.radians(F.abs(turn)) * r, "az0": pmod(a0 + 90.0 * side, 360.0), "az1": pmod(a1 + 90.0 * side, 360.0)}
+
+
+def stationed(pieces: DataFrame, begin: float = 0.0) -> DataFrame:
+    """Segments in the shape of chain from pieces in order (align_id, seq, x0, y0, x1, y1, az0, turn, length, radius, cx, cy);
+    a piece without radius is a line. Stations run on from `begin`."""
+    w = Window.partitionBy("align_id").orderBy("seq")
+    arc = F.col("radius").isNotNull()
+    d = F.signum("turn")
+    deg = F.when(arc, d * F.try_divide(F.lit(18000.0), math.pi * F.col("radius"))).otherwise(0.0)
+    s = pieces.withColumns({"kind": F.when(arc, "arc").otherwise("line"), "dir": d, "degree_in": deg, "degree_out": deg, "az1": pmod(F.col("az0") + F.col("turn"), 360.0)})
+    s = s.withColumn("begin_sta", begin + F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    s = s.withColumns({"end_sta": F.col("begin_sta") + F.col("length"), "is_last": F.lead("seq").over(w).isNull()})
+    keep = ["align_id", "seq", "kind", "degree_in", "degree_out", "length", "turn", "dir", "az0", "az1", "x0", "y0", "x1", "y1", "begin_sta", "end_sta", "radius", "cx", "cy", "is_last"]
+    return s.select(*keep)
+
+
+def from_bulges(sides: DataFrame) -> DataFrame:
+    """Segments of polylines whose sides (align_id, seq, x0, y0, x1, y1, bulge) are lines (bulge 0) and arcs."""
+    x0, y0, x1, y1, bulge = (F.col(c) for c in ("x0", "y0", "x1", "y1", "bulge"))
+    arc = arc_from_bulge(x0, y0, x1, y1, bulge)
+    bent = F.abs(bulge) > 1e-12
+    dx, dy = x1 - x0, y1 - y0
+    p = sides.withColumns({
+        "az0": F.when(bent, arc["az0"]).otherwise(azimuth(dx, dy)), "turn": F.when(bent, arc["turn"]).otherwise(0.0),
+        "length": F.when(bent, arc["length"]).otherwise(v.base_length(dx, dy)), "radius": F.when(bent, arc["radius"]),
+    })
+    cx, cy = v.at_azimuth(x0, y0, F.col("az0") + 90.0 * F.signum("turn"), F.col("radius"))
+    return stationed(p.withColumns({"cx": cx, "cy": cy}))
+
+
+def from_pieces(pieces: DataFrame, tol: float = 1.5e-4) -> DataFrame:
+    """Segments of alignments given as pieces in any order: (align_id, pid, x0, y0, x1, y1, cx, cy, d, outside).
+
+    A piece without centre is a line, else an arc as in arc_from_centre. Raises as ordered_pieces does.
+    """
+    x0, y0, x1, y1, cx, cy = (F.col(c) for c in ("x0", "y0", "x1", "y1", "cx", "cy"))
+    arc = arc_from_centre(x0, y0, cx, cy, x1, y1, F.col("d"), F.col("outside"))
+    bent, dx, dy = cx.isNotNull(), x1 - x0, y1 - y0
+    p = ordered_pieces(pieces, tol, "align_id").withColumns({
+        "az0": F.when(bent, arc["az0"]).otherwise(azimuth(dx, dy)), "turn": F.when(bent, arc["turn"]).otherwise(0.0),
+        "length": F.when(bent, arc["length"]).otherwise(v.base_length(dx, dy)), "radius": F.when(bent, arc["radius"]), "seq": F.col("place"),
+    })
+    return stationed(p)
+
+
+def alignments_box(segments: DataFrame) -> DataFrame:
+    """One row: xmin, ymin, xmax, ymax of all segments, the bulges of arcs included."""
+    b = arc_box()
+    return segments.agg(F.min(b["xmin"]).alias("xmin"), F.min(b["ymin"]).alias("ymin"), F.max(b["xmax"]).alias("xmax"), F.max(b["ymax"]).alias("ymax"))
+
+
+def spiral_anchor() -> Column:
+    """Station of the row's spiral at its flat end: its begin if it opens from a tangent, its end if it closes to one;
+    NULL for spirals between curves and for what is no spiral."""
+    spiral = F.col("kind") == "spiral"
+    return F.when(spiral & (F.abs("degree_in") < KIND_TOLERANCE), F.col("begin_sta")).when(spiral & (F.abs("degree_out") < KIND_TOLERANCE), F.col("end_sta"))
+
+
+def chords(segments: DataFrame, parts: int = 64) -> DataFrame:
+    """segments with each spiral replaced by `parts` lines between points on it; their lengths are those along the spiral."""
+    straight = segments.where("kind != 'spiral'")
+    n = F.lit(float(parts))
+    s = segments.where("kind = 'spiral' and x0 is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    (ax, ay, _), (bx, by, _) = (_at(F.col("length") * (F.col("k") + i) / n, F.lit(0.0)) for i in (0, 1))
+    s = s.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by, "begin_sta": F.col("begin_sta") + F.col("length") * F.col("k") / n, "length": F.col("length") / n, "kind": F.lit("line")})
+    s = s.withColumns({"x0": F.col("ax"), "y0": F.col("ay"), "x1": F.col("bx"), "y1": F.col("by"), "end_sta": F.col("begin_sta") + F.col("length")})
+    return straight.unionByName(s.select(*straight.columns))
+
+
+def spiral_to_station(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """points (align_id, pid, px, py) with the spirals that they project on: seq, sta, off (right positive).
+
+    The foot is where the way to the point is square to the spiral, found by false position along the spiral.
+    """
+    p = points.join(segments.where("kind = 'spiral' and x0 is not null"), "align_id")
+
+    def off(l: Column) -> tuple[Column, Column]:
+        x, y, az = _at(l, F.lit(0.0))
+        dx, dy, a = F.col("px") - x, F.col("py") - y, F.radians(az)
+        return dx * F.sin(a) + dy * F.cos(a), dx * F.cos(a) - dy * F.sin(a)
+
+    hair = 1e-6  # so that the feet at both ends are found whatever the rounding
+    p = p.withColumn("l", root_by_false_position(lambda l: off(l)[0], F.lit(-hair), F.col("length") + hair, F.lit(0.0))).where("l is not null")
+    return p.select("align_id", "pid", "seq", (F.col("begin_sta") + F.col("l")).alias("sta"), off(F.col("l"))[1].alias("off"))
+
+
 def arc_box() -> dict[str, Column]:
     """Box of the row's segment: its ends, and for an arc the compass points within its sweep."""
     a0 = azimuth(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))

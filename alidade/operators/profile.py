@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alidade.functions.angles import nullable_sum
+from alidade.functions.angles import azimuth, nullable_sum, pmod
+from alidade.operators import alignment as al
 from alidade.operators import surface as s
 from alidade.operators.ranges import lookup
 
@@ -128,6 +129,28 @@ def with_vpi(vpis: DataFrame, profile_id, station: float, elevation: float) -> D
     return vpis.select("profile_id", "station", "elevation", "vc_length").union(one)
 
 
+def with_points(vpis: DataFrame, more: DataFrame) -> DataFrame:
+    """VPIs with those of `more` (profile_id, station, elevation) before, behind or between them; the tangents are cut there.
+
+    ValueError if a profile has vertical curves, or a VPI within 5e-5 of a new one.
+    """
+    if not vpis.where("vc_length != 0").isEmpty():
+        raise ValueError("the profile has vertical curves")
+    cols = ["profile_id", "station", "elevation", "vc_length"]
+    all_ = vpis.select(*cols).union(more.withColumn("vc_length", F.lit(0.0)).select(*cols))
+    w = Window.partitionBy("profile_id").orderBy("station")
+    if not all_.withColumn("__gap", F.col("station") - F.lag("station").over(w)).where("__gap < 5e-5").isEmpty():
+        raise ValueError("there is a VPI at this station")
+    return all_
+
+
+def with_segments(vcurves: DataFrame, more: DataFrame) -> DataFrame:
+    """vcurves and raw pieces (profile_id, begin_sta, end_sta, begin_el, g1, g2, is_gap); a gap has no elevation or slope."""
+    cols = ["profile_id", "begin_sta", "end_sta", "begin_el", "g1", "g2", "is_gap"]
+    gap = {c: F.when(~F.col("is_gap"), F.col(c)) for c in ("begin_el", "g1", "g2")}
+    return numbered(vcurves.select(*cols).union(more.withColumns(gap).select(*cols)))
+
+
 def ray_hits(rays: DataFrame, vcurves: DataFrame) -> DataFrame:
     """(profile_id, ray_id, sta, el, place): where rays (profile_id, ray_id, s0, e0, m, advance +-1) meet the profile,
     nearest first."""
@@ -152,24 +175,37 @@ def two_slopes_x(x1: Column, y1: Column, m1: Column, x2: Column, y2: Column, m2:
     return F.try_divide(y2 - y1 + m1 * x1 - m2 * x2, m1 - m2)
 
 
-def cut(tv, points: DataFrame, segments: DataFrame, size: float) -> DataFrame:
-    """(align_id, station, elevation): crossings of valid surface edges and an alignment's lines, one per 1e-4 of station.
+def cut(tv, points: DataFrame, segments: DataFrame, size: float, parts: int = 64) -> DataFrame:
+    """(align_id, station, elevation): crossings of valid surface edges and an alignment, one per 1e-4 of station.
 
-    Edges and segments meet on grid cells (an equi-join), then by their boxes, then by the crossing itself.
+    Edges and segments meet on grid cells (an equi-join), then by their boxes, then by the crossing itself: of two lines,
+    or of an edge with an arc's circle within its sweep. A spiral counts as `parts` chords.
     """
     e = s.edge_lengths(s.edges(tv), points)
     box = {"exmin": F.least("xa", "xb"), "exmax": F.greatest("xa", "xb"), "eymin": F.least("ya", "yb"), "eymax": F.greatest("ya", "yb")}
-    e = e.withColumns(box).withColumn("cx", F.explode(F.sequence(F.floor(F.col("exmin") / size), F.floor(F.col("exmax") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("eymin") / size), F.floor(F.col("eymax") / size))))
-    g = segments.where("kind = 'line'").withColumns({"xmin": F.least("x0", "x1"), "xmax": F.greatest("x0", "x1"), "ymin": F.least("y0", "y1"), "ymax": F.greatest("y0", "y1")})
-    g = g.withColumn("cx", F.explode(F.sequence(F.floor(F.col("xmin") / size), F.floor(F.col("xmax") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("ymin") / size), F.floor(F.col("ymax") / size))))
-    m = g.join(e, ["cx", "cy"]).where("exmin <= xmax and xmin <= exmax and eymin <= ymax and ymin <= eymax")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    e = e.withColumns(box).withColumn("gx", F.explode(F.sequence(F.floor(F.col("exmin") / size), F.floor(F.col("exmax") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("eymin") / size), F.floor(F.col("eymax") / size))))
+    g = al.chords(segments, parts).where("x0 is not null").withColumns(al.arc_box())
+    g = g.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xmin") / size), F.floor(F.col("xmax") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("ymin") / size), F.floor(F.col("ymax") / size))))
+    m = g.join(e, ["gx", "gy"]).where("exmin <= xmax and xmin <= exmax and eymin <= ymax and ymin <= eymax")
     ex, ey = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
+
+    def hit(t: Column, u: Column) -> Column:  # parts of the segment and of the edge
+        return F.struct(t.alias("t"), u.alias("u"))
+
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     det = dx * ey - dy * ex
-    t = F.try_divide((F.col("xa") - F.col("x0")) * ey - (F.col("ya") - F.col("y0")) * ex, det)
-    u = F.try_divide((F.col("xa") - F.col("x0")) * dy - (F.col("ya") - F.col("y0")) * dx, det)
-    m = m.withColumns({"t": t, "u": u}).where("t >= 0 and t <= 1 and u >= 0 and u <= 1")
-    m = m.select("align_id", (F.col("begin_sta") + F.col("t") * F.col("length")).alias("station"), (F.col("za") + F.col("u") * (F.col("zb") - F.col("za"))).alias("elevation"))
+    line = hit(F.try_divide((F.col("xa") - F.col("x0")) * ey - (F.col("ya") - F.col("y0")) * ex, det), F.try_divide((F.col("xa") - F.col("x0")) * dy - (F.col("ya") - F.col("y0")) * dx, det))
+    # |a + u e - c|^2 = r^2
+    fx, fy = F.col("xa") - F.col("cx"), F.col("ya") - F.col("cy")
+    qa, qb, qc = ex * ex + ey * ey, ex * fx + ey * fy, fx * fx + fy * fy - F.col("radius") * F.col("radius")
+    disc = qb * qb - qa * qc
+    root = F.sqrt(F.when(disc >= 0, disc))
+    start = azimuth(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))
+    way = lambda u: F.try_divide(pmod((azimuth(fx + u * ex, fy + u * ey) - start) * F.col("dir"), 360.0), F.abs("turn"))
+    ends = [F.try_divide(-qb - root, qa), F.try_divide(-qb + root, qa)]
+    arcs = F.array(*[hit(way(u), u) for u in ends])
+    m = m.withColumn("h", F.explode(F.when(F.col("kind") == "arc", arcs).otherwise(F.array(line)))).where("h.t >= 0 and h.t <= 1 and h.u >= 0 and h.u <= 1")
+    m = m.select("align_id", (F.col("begin_sta") + F.col("h.t") * F.col("length")).alias("station"), (F.col("za") + F.col("h.u") * (F.col("zb") - F.col("za"))).alias("elevation"))
     best = m.groupBy("align_id", F.floor(F.col("station") * 10000 + 1e-6).alias("key")).agg(F.min(F.struct("station", "elevation")).alias("p"))
     return best.select("align_id", "p.station", "p.elevation")
 

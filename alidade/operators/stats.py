@@ -159,3 +159,11 @@ def summary(points: DataFrame, tv: DataFrame) -> str:
     lines = [f"Points: {d['n_points']:,}  Triangles: {d['n_triangles']:,}  Area: {d['area']:.2f}  Density: {d['density']:.4f}"]
     lines += [f"{a.upper()}: min {rows[a]['low']:.3f} max {rows[a]['high']:.3f} mean {rows[a]['mean']:.3f} median {rows[a]['median']:.3f}" for a in "xyz" if a in rows]
     return "\n".join(lines)
+
+
+def tolerance_misses(found: DataFrame, expected: DataFrame, key: str, columns: list[str], tol: float = 0.15) -> DataFrame:
+    """(key, column): values of `expected` that `found` has not within tol; a NULL on one side only is a miss, a missing row too."""
+    e = expected.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    both = e.join(found.select(key, *columns), key, "left")
+    miss = lambda c: F.when(~F.coalesce((F.abs(F.col(c) - F.col(f"__{c}")) <= tol), F.col(c).isNull() & F.col(f"__{c}").isNull()), F.lit(c))
+    return both.select(key, F.explode(F.array_compact(F.array(*[miss(c) for c in columns]))).alias("column"))

@@ -9,10 +9,12 @@ from alidade.functions import angles as a
 from alidade.functions import vectors as v
 from alidade.functions.angles import rounded as R
 from alidade.operators import alignment as al
+from alidade.operators import hull
 from alidade.operators import profile as pr
 from alidade.operators import stats
 from alidade.plans import fixtures as x
 from alidade.plans.fixtures import r6
+from alidade.sources import sinks
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -409,3 +411,169 @@ def _g13(spark, d):
 def _g14(spark, d):
     model = lambda x_, p, q: p * x_ + q * x_ * x_
     return stats.fit_best(stats.fit_errors(_fit_data(spark), stats.fit_grid(spark, (0.0, 1.0), (0.0, 1.0), 9), model)).select("a", "b", R(F.col("error")).alias("error"))
+
+
+# --- rays, arcs by centre, pieces, editing, text sinks ---------------------------------------------------------------
+
+
+@add("x_ray_line", f"""WITH q AS (SELECT c_custkey AS k, CAST(c_custkey*37%640 AS DOUBLE)/10-32 AS px, CAST(c_custkey*91%640 AS DOUBLE)/10-32 AS py, radians(CAST(c_custkey*13%360 AS DOUBLE)) AS az,
+ CASE WHEN c_custkey%11<>0 THEN CAST(c_custkey%7-3 AS DOUBLE)/4 END AS m, CASE WHEN c_custkey%2=0 THEN 1 ELSE -1 END AS adv FROM customer)
+ SELECT k, {r6('(px-1)*cos(az)-(py-2)*sin(az)')} AS off, m*adv AS m, 5-m*adv AS b, CASE WHEN sign(px-1)=sign(m) THEN {r6('5+(px-1)*m')} END AS el FROM q""")
+def _x_ray(spark, d):
+    key = F.col("c_custkey")
+    q = x.table(spark, d, "customer").select(key.alias("k"), ((key * 37 % 640).cast("double") / 10 - 32).alias("px"), ((key * 91 % 640).cast("double") / 10 - 32).alias("py"), (key * 13 % 360).cast("double").alias("az"), F.when(key % 11 != 0, (key % 7 - 3).cast("double") / 4).alias("m"), F.when(key % 2 == 0, 1).otherwise(-1).alias("adv"))
+    one, two, five = (F.lit(float(n)) for n in (1, 2, 5))
+    line = v.ray_line(one, five, F.col("m"), F.col("adv"))
+    return q.select("k", R(v.ray_offset(F.col("px"), F.col("py"), one, two, F.col("az"))).alias("off"), line["m"].alias("m"), line["b"].alias("b"), R(v.ray_elevation(F.col("px"), one, five, F.col("m"))).alias("el"))
+
+
+@add("f03_box3", f"WITH {x.CLOUD} SELECT seq, x BETWEEN -5 AND 5 AND y BETWEEN -4 AND 6 AND z BETWEEN 0 AND 9 AS inside FROM cloud")
+def _f03(spark, d):
+    return x.cloud(spark, d).select("seq", v.in_box3(F.col("x"), F.col("y"), F.col("z"), (-5, -4, 5, 6, 0, 9)).alias("inside"))
+
+
+@add("a06_arc_centre", f"""WITH {_CH}, q AS (SELECT *, seq%2=1 AS outside FROM sg WHERE kind='arc')
+ SELECT align_id, seq, {r6('rad')} AS radius, {r6('CASE WHEN outside THEN turn-360*dir ELSE turn END')} AS turn, {r6('CASE WHEN outside THEN rad*radians(360-abs(turn)) ELSE len END')} AS length,
+ {r6('sin(radians(az0))*CASE WHEN outside THEN -1 ELSE 1 END')} AS sin_az0 FROM q""")
+def _a06(spark, d):
+    arcs = segments(spark, d).where("kind = 'arc'")
+    at = al.arc_from_centre(*[F.col(c) for c in ("x0", "y0", "cx", "cy", "x1", "y1")], -F.col("dir"), F.col("seq") % 2 == 1)
+    return arcs.select("align_id", "seq", *[R(at[c]).alias(c) for c in ("radius", "turn", "length")], R(F.sin(F.radians(at["az0"]))).alias("sin_az0"))
+
+
+@add("a12_spiral_anchor", f"WITH {_CH} SELECT align_id, seq, CASE WHEN kind='spiral' AND abs(d_in)<5e-5 THEN s0 WHEN kind='spiral' AND abs(d_in-turn*200/len)<5e-5 THEN s1 END AS anchor FROM sg")
+def _a12(spark, d):
+    return segments(spark, d).select("align_id", "seq", al.spiral_anchor().alias("anchor"))
+
+
+@add("a20_spiral_station", f"WITH {_CH}, {_ST}, {_PT} SELECT align_id, sid AS pid, seq, {r6('s0_+l')} AS sta, {r6('off')} AS off FROM (SELECT pt.*, sg.s0 AS s0_ FROM pt JOIN sg USING (align_id, seq)) WHERE kind='spiral'")
+def _a20(spark, d):
+    seg = segments(spark, d)
+    xy = al.station_to_xy(stations(spark, d), seg).select("align_id", F.col("sid").alias("pid"), F.col("seq").alias("own"), F.col("x").alias("px"), F.col("y").alias("py"))
+    hit = al.spiral_to_station(xy, seg).join(xy.select("align_id", "pid", "own"), ["align_id", "pid"]).where("seq = own")
+    return hit.select("align_id", "pid", "seq", R(F.col("sta")).alias("sta"), R(F.col("off")).alias("off"))
+
+
+@add("g12_alignments_box", f"""WITH {_CH}, c AS (SELECT *, x0+rad*dir*cos(radians(az0)) AS cx, y0-rad*dir*sin(radians(az0)) AS cy, az0-90*dir AS a0 FROM sg),
+ p AS (SELECT x0 AS x, y0 AS y FROM sg UNION ALL SELECT x1, y1 FROM sg UNION ALL SELECT cx+rad*sin(radians(k*90)), cy+rad*cos(radians(k*90)) FROM c, range(4) t(k)
+ WHERE kind='arc' AND (k*90-a0)*dir - floor((k*90-a0)*dir/360)*360 <= abs(turn)) SELECT {r6('min(x)')} AS xmin, {r6('min(y)')} AS ymin, {r6('max(x)')} AS xmax, {r6('max(y)')} AS ymax FROM p""")
+def _g12(spark, d):
+    return al.alignments_box(segments(spark, d)).select(*[R(F.col(c)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+
+
+_BS = """bp AS (SELECT CAST(c_nationkey AS BIGINT) AS align_id, CAST(c_custkey AS BIGINT) AS seq, c_custkey*2.0::DOUBLE+(c_custkey%3)/2.0::DOUBLE AS x0, CAST(c_custkey*91%640 AS DOUBLE)/4 AS y0, CAST(c_custkey%5-2 AS DOUBLE)/4 AS b FROM customer),
+ bs AS (SELECT * FROM (SELECT *, lead(x0) OVER w AS x1, lead(y0) OVER w AS y1 FROM bp WINDOW w AS (PARTITION BY align_id ORDER BY seq)) WHERE x1 IS NOT NULL),
+ bc AS (SELECT *, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS ch, 4*atan(abs(b)) AS sw FROM bs),
+ bt AS (SELECT *, CASE WHEN b=0 THEN ch ELSE ch/(2*sin(sw/2))*sw END AS len, -sign(b)*degrees(sw) AS turn, CASE WHEN b<>0 THEN ch/(2*sin(sw/2)) END AS rad FROM bc),
+ bo AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY align_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS s0, row_number() OVER (PARTITION BY align_id ORDER BY seq)-1 AS place FROM bt)"""
+
+
+def sides(spark, d):
+    """A polyline per nation through its customers, with bulges."""
+    key = F.col("c_custkey")
+    p = x.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("align_id"), key.cast("long").alias("seq"), (key * 2.0 + (key % 3) / 2.0).alias("x0"), ((key * 91 % 640).cast("double") / 4).alias("y0"), ((key % 5 - 2).cast("double") / 4).alias("bulge"))
+    w = Window.partitionBy("align_id").orderBy("seq")
+    return p.withColumns({"x1": F.lead("x0").over(w), "y1": F.lead("y0").over(w)}).where("x1 is not null")
+
+
+@add("s18_bulge_segments", f"WITH {_BS} SELECT align_id, seq, CASE WHEN b=0 THEN 'line' ELSE 'arc' END AS kind, {r6('turn')} AS turn, {r6('len')} AS length, {r6('s0')} AS begin_sta, {r6('rad')} AS radius FROM bo")
+def _s18(spark, d):
+    return al.from_bulges(sides(spark, d)).select("align_id", "seq", "kind", *[R(F.col(c)).alias(c) for c in ("turn", "length", "begin_sta", "radius")])
+
+
+@add("s20_piece_segments", f"WITH {_BS} SELECT align_id, place AS seq, CASE WHEN b=0 THEN 'line' ELSE 'arc' END AS kind, {r6('turn')} AS turn, {r6('len')} AS length, {r6('s0')} AS begin_sta, {r6('rad')} AS radius FROM bo")
+def _s20(spark, d):
+    p = al.from_bulges(sides(spark, d)).select("align_id", F.col("seq").alias("pid"), "x0", "y0", "x1", "y1", "cx", "cy", F.col("dir").alias("d"), F.lit(False).alias("outside"))
+    return al.from_pieces(p).select("align_id", "seq", "kind", *[R(F.col(c)).alias(c) for c in ("turn", "length", "begin_sta", "radius")])
+
+
+_MORE = """sp AS (SELECT profile_id, min(station) AS lo, max(station) AS hi, min(elevation) AS el FROM vp0 GROUP BY 1),
+ nv AS (SELECT profile_id, station, elevation FROM vp0 UNION ALL SELECT profile_id, lo-10, el+1 FROM sp UNION ALL SELECT profile_id, lo+0.5, el+2 FROM sp UNION ALL SELECT profile_id, hi+10, el+3 FROM sp)"""
+
+
+@add("p11_with_points", f"""WITH {_VP}, {_MORE}, n AS (SELECT profile_id, station, elevation, (lead(elevation) OVER w-elevation)/(lead(station) OVER w-station) AS g, row_number() OVER w AS seq FROM nv WINDOW w AS (PARTITION BY profile_id ORDER BY station))
+ SELECT profile_id, CAST(seq AS INT) AS seq, station AS begin_sta, elevation AS begin_el, {r6('g')} AS g1 FROM n WHERE g IS NOT NULL""")
+def _p11(spark, d):
+    own = vpis(spark, d).select("profile_id", "station", "elevation", F.lit(0.0).alias("vc_length"))
+    per = own.groupBy("profile_id").agg(F.min("station").alias("lo"), F.max("station").alias("hi"), F.min("elevation").alias("el"))
+    at = [F.struct((F.col(c) + s).alias("station"), (F.col("el") + e).alias("elevation")) for c, s, e in (("lo", -10.0, 1), ("lo", 0.5, 2), ("hi", 10.0, 3))]
+    more = per.select("profile_id", F.explode(F.array(*at)).alias("p")).select("profile_id", "p.*")
+    return pr.curves(pr.with_points(own, more)).select("profile_id", "seq", "begin_sta", "begin_el", R(F.col("g1")).alias("g1"))
+
+
+@add("p13_with_segments", f"""WITH {_CV}, z AS (SELECT profile_id, max(e) AS e FROM cv GROUP BY 1), u AS (SELECT profile_id, b, e, el, g1, false AS is_gap FROM cv UNION ALL SELECT profile_id, e, e+10, NULL, NULL, true FROM z UNION ALL SELECT profile_id, e+10, e+30, 100, 0.25, false FROM z)
+ SELECT profile_id, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY b) AS INT) AS seq, b AS begin_sta, e AS end_sta, {r6('el')} AS begin_el, {r6('g1')} AS g1, is_gap FROM u""")
+def _p13(spark, d):
+    own = curves(spark, d)
+    end = own.groupBy("profile_id").agg(F.max("end_sta").alias("e"))
+    piece = lambda a, b, gap: F.struct((F.col("e") + a).alias("begin_sta"), (F.col("e") + b).alias("end_sta"), F.lit(100.0).alias("begin_el"), F.lit(0.25).alias("g1"), F.lit(0.5).alias("g2"), F.lit(gap).alias("is_gap"))
+    more = end.select("profile_id", F.explode(F.array(piece(0, 10, True), piece(10, 30, False))).alias("p")).select("profile_id", "p.*")
+    return pr.with_segments(own, more).select("profile_id", "seq", "begin_sta", "end_sta", R(F.col("begin_el")).alias("begin_el"), R(F.col("g1")).alias("g1"), "is_gap")
+
+
+def _plain(e: str) -> str:
+    return f"rtrim(rtrim(printf('%.6f', {e}), '0'), '.')"
+
+
+@add("k09_station_points", f"WITH {_CH}, {_ST}, {_PT} SELECT align_id, sid, {_plain('x')}||','||{_plain('y')} AS value FROM xy")
+def _k09(spark, d):
+    return sinks.station_points(al.station_to_xy(stations(spark, d), segments(spark, d)))
+
+
+@add("k10_profile_lines", f"""WITH {_CV}, c AS (SELECT *, CAST(floor(b*100+0.5) AS BIGINT) AS c FROM cv)
+ SELECT profile_id, CAST(seq AS INT) AS seq, {_plain('b')}||','||{_plain(r6('el'))}||','||{_plain(r6('e-b'))} AS value, CAST(c//10000 AS VARCHAR)||'+'||printf('%05.2f', (c%10000)/100.0::DOUBLE)||','||{_plain(r6('el'))}||','||{_plain(r6('e-b'))} AS text FROM c""")
+def _k10(spark, d):
+    c = curves(spark, d)
+    return sinks.profile_lines(c, True).join(sinks.profile_lines(c).withColumnRenamed("value", "text"), ["profile_id", "seq"])
+
+
+@add("k14_probability_lines", """WITH b AS (SELECT min(CAST(l_extendedprice AS DOUBLE)) AS lo, (max(CAST(l_extendedprice AS DOUBLE))+0.00001::DOUBLE-min(CAST(l_extendedprice AS DOUBLE)))/19 AS w FROM lineitem),
+ n AS (SELECT CAST(floor((CAST(l_extendedprice AS DOUBLE)-lo)/w) AS BIGINT) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)
+ SELECT r.bin, printf('%.4f', lo+w*(r.bin+1))||','||coalesce(n, 0) AS value FROM range(20) r(bin), b LEFT JOIN n ON n.bin=r.bin""")
+def _k14(spark, d):
+    price = x.table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("v"))
+    return sinks.probability_lines(stats.probability_bins(price, "v", 20))
+
+
+@add("t08_input_outcomes", """WITH q AS (SELECT n_nationkey AS g, i, CASE WHEN n_nationkey%5=0 AND i=1 THEN NULL ELSE CAST(i AS DOUBLE) END AS x, CAST(CASE WHEN n_nationkey%5=1 THEN 3*i ELSE i*i END AS DOUBLE) AS y FROM nation, range(5) t(i) WHERE n_nationkey%5<>2 OR i<2)
+ SELECT g, CASE WHEN count(*)>count(x) THEN 'null_coordinate' WHEN count(*)<3 THEN 'too_few' WHEN min((y-3*x)=0) THEN 'collinear' ELSE 'ok' END AS outcome FROM q GROUP BY g""")
+def _t08(spark, d):
+    g = x.table(spark, d, "nation").select(F.col("n_nationkey").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    k = F.col("g") % 5  # nations of one kind each: a NULL, all on a line, two points only, fine
+    p = g.where((k != 2) | (F.col("i") < 2)).select("g", F.when((k != 0) | (F.col("i") != 1), F.col("i").cast("double")).alias("x"), F.when(k == 1, F.col("i") * 3).otherwise(F.col("i") * F.col("i")).cast("double").alias("y"))
+    return hull.input_outcomes(p, "g")
+
+
+@add("q15_tolerance", "SELECT k, c AS \"column\" FROM (SELECT c_custkey AS k, CASE WHEN c_custkey%4>1 THEN 'el' END AS e, CASE WHEN c_custkey%3=0 THEN 'slope' END AS s FROM customer) UNPIVOT (c FOR n IN (e, s))")
+def _q15(spark, d):
+    key = F.col("c_custkey")
+    c = x.table(spark, d, "customer").select(key.alias("k"), (key * 0.5).alias("el"), F.when(key % 3 != 0, key * 0.25).alias("slope"))
+    return stats.tolerance_misses(c, c.select("k", (F.col("el") + F.col("k") % 4 * 0.1).alias("el"), (F.col("k") * 0.25).alias("slope")), "k", ["el", "slope"])
+
+
+#: A line and an arc per region over the lattice; direction and azimuth follow the region.
+_RT = """rt AS (SELECT CAST(r_regionkey AS BIGINT) AS align_id, r_regionkey*6.3::DOUBLE+5.1 AS x0, 4.7::DOUBLE AS y0, radians(r_regionkey*9.0::DOUBLE+11) AS az, CASE WHEN r_regionkey%2=0 THEN 1 ELSE -1 END AS dir, 18000/(pi()*250) AS rad FROM region),
+ ru AS (SELECT *, x0+12.5*sin(az) AS x1, y0+12.5*cos(az) AS y1 FROM rt), rc AS (SELECT *, x1+dir*rad*cos(az) AS cx, y1-dir*rad*sin(az) AS cy FROM ru)"""
+
+
+def curved_route(spark, d):
+    r = x.table(spark, d, "region")
+    heads = r.select(F.col("r_regionkey").cast("long").alias("align_id"), (F.col("r_regionkey") * 6.3 + 5.1).alias("x"), F.lit(4.7).alias("y"), F.lit(0.0).alias("station"), (F.col("r_regionkey") * 9.0 + 11).alias("azimuth_deg"))
+    deg = F.when(F.col("r_regionkey") % 2 == 0, 250.0).otherwise(-250.0)
+    part = lambda k, g, n: F.struct(F.lit(k).alias("seq"), g.alias("degree_in"), F.lit(n).alias("length"), g.alias("degree_out"))
+    e = r.select(F.col("r_regionkey").cast("long").alias("align_id"), F.explode(F.array(part(0, F.lit(0.0), 12.5), part(1, deg, 30.0))).alias("e")).select("align_id", "e.*")
+    return al.chain(e, heads)
+
+
+@add("p16_cut_arcs", f"""WITH {x.SURF}, {x.EDGES}, {_RT}, ed AS (SELECT a.x AS xa, a.y AS ya, a.z AS za, b.x-a.x AS ex, b.y-a.y AS ey, b.z-a.z AS ez FROM e JOIN lp a ON a.point_id=pa JOIN lp b ON b.point_id=pb),
+ ml AS (SELECT align_id, za, ez, (x1-x0)*ey-(y1-y0)*ex AS det, (xa-x0)*ey-(ya-y0)*ex AS tn, (xa-x0)*(y1-y0)-(ya-y0)*(x1-x0) AS un FROM rc, ed),
+ ma AS (SELECT *, ex*ex+ey*ey AS qa, ex*(xa-cx)+ey*(ya-cy) AS qb, (xa-cx)*(xa-cx)+(ya-cy)*(ya-cy)-rad*rad AS qc FROM rc, ed),
+ mu AS (SELECT *, (-qb+s*sqrt(qb*qb-qa*qc))/qa AS u FROM (SELECT * FROM ma WHERE qb*qb-qa*qc>=0), (VALUES (1),(-1)) t(s)),
+ mw AS (SELECT *, (degrees(atan2(xa+u*ex-cx, ya+u*ey-cy))-degrees(az)+90*dir)*dir AS w FROM mu WHERE u BETWEEN 0 AND 1),
+ h AS (SELECT align_id, tn/det*12.5 AS station, za+un/det*ez AS elevation FROM ml WHERE det<>0 AND tn/det BETWEEN 0 AND 1 AND un/det BETWEEN 0 AND 1
+ UNION ALL SELECT align_id, 12.5+30*(w-floor(w/360)*360)/75, za+u*ez FROM mw WHERE w-floor(w/360)*360<=75),
+ b AS (SELECT align_id, floor(station*10000+1e-6) AS k, min(station) AS station, arg_min(elevation, station) AS elevation FROM h GROUP BY 1,2) SELECT align_id, {r6('station')} AS station, {r6('elevation')} AS elevation FROM b""")
+def _p16_arcs(spark, d):
+    p, tv = x.lattice(spark, d)
+    c = pr.cut(tv, p, curved_route(spark, d), 8.0)
+    return c.select("align_id", R(F.col("station")).alias("station"), R(F.col("elevation")).alias("elevation"))

@@ -191,7 +191,7 @@ class Session:
     def do_load_rasters(self, folder: str, *flags):
         box = self.box
         if "-bb" in flags and self.segments is not None:
-            b = self.segments.agg(F.min(F.least("x0", "x1")), F.min(F.least("y0", "y1")), F.max(F.greatest("x0", "x1")), F.max(F.greatest("y0", "y1"))).first()
+            b = al.alignments_box(self.segments).first()
             box = tuple(b)
         pts = rasters.read_folder(self.spark, self._in(folder), box)
         self.surface, self.derived = build(pts.withColumns({"seq": F.xxhash64("x", "y"), "classification": F.lit(0)})), None

@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alidade.functions.angles import rounded
+from alidade.operators.alignment import station_text
+
 
 def trimmed(v: Column, places: int = 3) -> Column:
     """Up to `places` decimals, without trailing zeros."""
@@ -68,6 +71,23 @@ def dxf_alignment(segments: DataFrame, layer: str = "ALIGNMENT") -> DataFrame:
     return rows.select("align_id", "seq", F.when(F.col("kind") == "line", line).otherwise(arc).alias("value"))
 
 
+def station_points(xy: DataFrame) -> DataFrame:
+    """(align_id, sid, value): `x,y` lines of stations on alignments."""
+    return xy.where("x is not null").select("align_id", "sid", F.concat_ws(",", trimmed(F.col("x"), 6), trimmed(F.col("y"), 6)).alias("value"))
+
+
+def profile_lines(vcurves: DataFrame, true_stations: bool = False) -> DataFrame:
+    """(profile_id, seq, value): `station,elevation,length` at the begin of each piece; stations as text or as numbers."""
+    sta = trimmed(F.col("begin_sta"), 6) if true_stations else station_text(F.col("begin_sta"))
+    el = F.coalesce(trimmed(rounded(F.col("begin_el")), 6), F.lit(""))
+    return vcurves.select("profile_id", "seq", F.concat_ws(",", sta, el, trimmed(rounded(F.col("end_sta") - F.col("begin_sta")), 6)).alias("value"))
+
+
+def probability_lines(bins: DataFrame) -> DataFrame:
+    """(bin, value): `upper end,count` of each bin."""
+    return bins.select("bin", F.format_string("%.4f,%d", "max_x", "n").alias("value"))
+
+
 def write_text(rows: DataFrame, path: str, order: list[str], head: list[str] = (), tail: list[str] = ()) -> None:
     """One text file in order. The order is made by a range sort in parallel; rows then stream to the driver one
     partition at a time, so neither a task nor the driver holds the file."""

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alidade.operators.alignment import from_bulges
+
 SURFACE = "kind string, a double, b double, c double, id long"
 
 
@@ -115,6 +117,11 @@ def read_dxf(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInPandas(parse, "align_id long, seq long, x0 double, y0 double, x1 double, y1 double, bulge double")
 
 
+def read_dxf_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of the LINE and LWPOLYLINE entities of DXF files, an alignment each."""
+    return from_bulges(read_dxf(spark, path))
+
+
 def read_esri_json(spark: SparkSession, path: str, name_field: str = "Name") -> tuple[DataFrame, int]:
     """((align_id, begin_sta, path_idx, seq, x, y), wkid): one alignment per feature, its paths joined in order.
 
@@ -161,7 +168,7 @@ def read_alignment_csv(spark: SparkSession, path: str, align_id: str = "alignmen
     text = spark.read.text(path, wholetext=True).first()["value"]
     heads, elements = parse_alignment_csv(text)
     e = spark.createDataFrame([(align_id, k, *row) for k, row in enumerate(elements)], "align_id string, seq int, degree_in double, length double, degree_out double")
-    h = spark.createDataFrame([(align_id, x, y, s, a) for x, y, s, _, a in heads[:1]], "align_id string, x double, y double, station double, azimuth_deg double")
+    h = spark.createDataFrame([(align_id, x, y, s, a, r) for x, y, s, r, a in heads[:1]], "align_id string, x double, y double, station double, azimuth_deg double, region int")
     return e, h
 
 

@@ -205,3 +205,54 @@ def test_repeated_probes_come_back_each_time(spark, sf_dir):
     got = surface.point_results(spark.createDataFrame(probes, "qid long, px double, py double"), tv).collect()
     assert sorted((r.qid, r.px, r.py) for r in got) == sorted(probes)
     assert len({r.tri_id for r in got if r.qid == 2}) == 1 and all(r.tri_id is None for r in got if r.qid == 3)
+
+
+def test_cut_of_spirals_and_arcs_by_sampling(spark, sf_dir):
+    """Crossings of a chain with spirals lie on it and on the surface, and there is one wherever the chain changes triangles."""
+    from alidade.operators import alignment as al
+    from alidade.operators import profile as pr
+    from alidade.operators import surface as s
+    from alidade.plans import fixtures as x
+
+    points, tv = x.lattice(spark, sf_dir)
+    parts = [(1, 0, 0.0, 8.3, 0.0), (1, 1, 0.0, 14.0, 180.0), (1, 2, 180.0, 11.0, 180.0), (1, 3, 180.0, 14.0, 0.0)]
+    elements = spark.createDataFrame(parts, "align_id long, seq int, degree_in double, length double, degree_out double")
+    heads = spark.createDataFrame([(1, 9.3, 7.7, 0.0, 13.0)], "align_id long, x double, y double, station double, azimuth_deg double")
+    seg = al.chain(elements, heads).cache()
+    got = sorted((r.station, r.elevation) for r in pr.cut(tv, points, seg, 8.0, 256).collect())
+    fine = spark.range(4731).select(F.lit(1).cast("long").alias("align_id"), F.col("id").alias("sid"), (F.col("id") / 100).alias("sta"), F.lit(0.0).alias("offset"))
+    xy = al.station_to_xy(fine, seg)
+    q = xy.select(F.col("sid").alias("qid"), F.col("x").alias("px"), F.col("y").alias("py"))
+    rows = sorted((r.qid, r.tri_id, r.el) for r in s.locate(q, tv).select("qid", "tri_id", s.elevation(F.col("px"), F.col("py")).alias("el")).collect())
+    assert len(rows) == 4731
+    steps = [(a[0] / 100, b[0] / 100, a[2]) for a, b in zip(rows, rows[1:]) if a[1] != b[1]]
+    assert len(steps) > 10
+    for lo, hi, el in steps:
+        near = [e for t, e in got if lo - 0.02 <= t <= hi + 0.02]
+        assert near and min(abs(e - el) for e in near) < 0.3
+    for t, _ in got:
+        assert any(lo - 0.02 <= t <= hi + 0.02 for lo, hi, _ in steps)
+
+
+def test_editing_refuses_what_it_cannot_place(spark):
+    from alidade.operators import profile as pr
+
+    v = "profile_id long, station double, elevation double, vc_length double"
+    plain, curved = spark.createDataFrame([(1, 0.0, 5.0, 0.0), (1, 10.0, 6.0, 0.0)], v), spark.createDataFrame([(1, 5.0, 5.0, 4.0)], v)
+    more = spark.createDataFrame([(1, 10.00001, 7.0)], "profile_id long, station double, elevation double")
+    for own in (plain, curved):
+        with pytest.raises(ValueError):
+            pr.with_points(own, more)
+
+
+def test_dxf_alignments(spark, tmp_path):
+    """A line and a polyline with a half circle to the left."""
+    from alidade.sources import texts
+
+    line = "0\nLINE\n8\nA\n10\n1\n20\n2\n11\n4\n21\n6\n"
+    poly = "0\nLWPOLYLINE\n8\nA\n70\n0\n10\n0\n20\n0\n42\n1\n10\n0\n20\n10\n10\n5\n20\n10\n"
+    (tmp_path / "a.dxf").write_text(f"0\nSECTION\n2\nENTITIES\n{line}{poly}0\nENDSEC\n0\nEOF\n")
+    got = texts.read_dxf_alignments(spark, f"{tmp_path}/a.dxf").orderBy("align_id", "seq").collect()
+    assert [(r.align_id, r.kind) for r in got] == [(0, "line"), (1, "arc"), (1, "line")]
+    assert abs(got[0].length - 5) < 1e-9 and abs(got[1].length - 5 * 3.141592653589793) < 1e-9 and abs(got[1].turn + 180) < 1e-9
+    assert abs(got[1].cx) < 1e-9 and abs(got[1].cy - 5) < 1e-9 and abs(got[2].begin_sta - got[1].length) < 1e-9
