@@ -146,11 +146,16 @@ def root_by_false_position(f, low: Column, high: Column, target: Column, steps:
 
     start = F.struct(low.alias("a"), high.alias("b"), g(low).alias("fa"), g(high).alias("fb"))
 
+    def bound(value: Column, body) -> Column:  # so that the value is worked out once, not wherever it stands in the body
+        return F.transform(F.array(value), body)[0]
+
     def step(s: Column, _: Column) -> Column:
+        def onward(x: Column, fx: Column) -> Column:
+            crossed = fx * s["fb"] < 0
+            return F.struct(F.when(crossed, s["b"]).otherwise(s["a"]).alias("a"), x.alias("b"), F.when(crossed, s["fb"]).otherwise(s["fa"] / 2).alias("fa"), fx.alias("fb"))
+
         x = F.coalesce(F.try_divide(s["a"] * s["fb"] - s["b"] * s["fa"], s["fb"] - s["fa"]), s["b"])
-        fx = g(x)
-        crossed = fx * s["fb"] < 0
-        return F.struct(F.when(crossed, s["b"]).otherwise(s["a"]).alias("a"), x.alias("b"), F.when(crossed, s["fb"]).otherwise(s["fa"] / 2).alias("fa"), fx.alias("fb"))
+        return bound(x, lambda x: bound(g(x), lambda fx: onward(x, fx)))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["b"])
     return F.when(g(low) * g(high) <= 0, found)

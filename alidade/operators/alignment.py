@@ -214,7 +214,8 @@ def spiral_to_station(points: DataFrame, segments: DataFrame) -> DataFrame:
         return dx * F.sin(a) + dy * F.cos(a), dx * F.cos(a) - dy * F.sin(a)
 
     hair = 1e-6  # so that the feet at both ends are found whatever the rounding
-    p = p.withColumn("l", root_by_false_position(lambda l: off(l)[0], F.lit(-hair), F.col("length") + hair, F.lit(0.0))).where("l is not null")
+    foot = root_by_false_position(lambda l: off(l)[0], F.lit(-hair), F.col("length") + hair, F.lit(0.0))
+    p = p.withColumn("l", F.explode(F.array_compact(F.array(foot))))  # exploded, so that no filter repeats the search
     return p.select("align_id", "pid", "seq", (F.col("begin_sta") + F.col("l")).alias("sta"), off(F.col("l"))[1].alias("off"))
 
 
