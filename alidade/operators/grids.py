@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def cell_centres(cells: DataFrame, head: dict) -> DataFrame:
-    """cells (row from the top, col, z) with x, y of their centres."""
-    cs = float(head["cellsize"])
+    """cells (row from the top, col, z) with x, y of their centres; head holds numbers or columns."""
+    cs = head["cellsize"]
     top = head["yll"] + head["nrows"] * cs
     return cells.withColumns({"x": F.lit(head["xll"] + cs / 2) + F.col("col") * cs, "y": F.lit(top - cs / 2) - F.col("row") * cs})
 

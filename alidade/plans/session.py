@@ -77,7 +77,7 @@ def from_file(spark: SparkSession, path: str) -> Surface:
 
 def raster_surface(spark: SparkSession, path: str) -> Surface:
     """Two triangles per cell square, always on the same diagonal; squares with a missing corner are left out."""
-    head = rasters.read_header(path)
+    head = rasters.read_header(spark, path)
     n = head["ncols"]
     p = written(rasters.read_points(spark, path).select((F.col("row") * n + F.col("col")).alias("point_id"), "x", "y", "z"))
     ids = F.col("point_id")
@@ -196,7 +196,7 @@ class Session:
         pts = rasters.read_folder(self.spark, self._in(folder), box)
         self.surface, self.derived = build(pts.withColumns({"seq": F.xxhash64("x", "y"), "classification": F.lit(0)})), None
         # raster neighbours that lie far apart are no neighbours: long outer edges go
-        longest = 1.8 * rasters.peak_cell_size(self._in(folder))
+        longest = 1.8 * rasters.peak_cell_size(self.spark, self._in(folder))
         gone = s.dissolved(self.surface.tv, self.surface.points, longest)
         self.surface.tv = written(self.surface.tv.join(gone, "tri_id", "left_anti"))
 

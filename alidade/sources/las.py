@@ -5,8 +5,10 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "seq long, x double, y double, z double, classification int"
@@ -86,20 +88,31 @@ def read_las(spark: SparkSession, path: str, classes: list[int] | None = None, r
     return spark.read.format("las").option("classes", " ".join(map(str, classes or []))).option("rowsPerSplit", rows_per_split).load(path)
 
 
-def write_las(points: DataFrame, template: str, out: str) -> int:
+def _runs(batches):
+    """Sorted record numbers as runs (first, n) of neighbours."""
+    for pdf in batches:
+        seq = pdf["seq"].to_numpy()
+        if len(seq):
+            cut = np.flatnonzero(np.diff(seq) != 1) + 1
+            yield pd.DataFrame({"first": seq[np.r_[0, cut]], "n": np.diff(np.r_[0, cut, len(seq)])})
+
+
+def write_las(points: DataFrame, template: str, out: str, block: int = 65536) -> int:
     """A LAS file with the template's header, VLRs and the records whose seq is in points, in order; returns the count.
 
-    The selected numbers stream to the writer in sorted order, one partition at a time.
+    The numbers are sorted and joined to runs of neighbours in parallel; the runs stream to the writer, one partition
+    at a time, which copies up to `block` records at once.
     """
     with open(template, "rb") as src, open(out, "wb") as dst:
         head = read_header(src.read(400))
         src.seek(0)
         dst.write(src.read(head["offset"]))
         n = 0
-        for row in points.select("seq").orderBy("seq").toLocalIterator():
-            src.seek(head["offset"] + row["seq"] * head["record"])
-            dst.write(src.read(head["record"]))
-            n += 1
+        for run in points.select("seq").orderBy("seq").mapInPandas(_runs, "first long, n long").toLocalIterator():
+            src.seek(head["offset"] + run["first"] * head["record"])
+            for k in range(0, run["n"], block):
+                dst.write(src.read(min(block, run["n"] - k) * head["record"]))
+            n += run["n"]
         dst.seek(107)
         dst.write(struct.pack("<I", n if head["format"] < 6 and n < 2**32 else 0))
         if head["header_size"] >= 375:
@@ -108,20 +121,51 @@ def write_las(points: DataFrame, template: str, out: str) -> int:
     return n
 
 
-def make_las(path: str, x, y, z, classes, scale: float = 0.01, fmt: int = 6, vlr: bytes = b"") -> None:
-    """A small LAS 1.4 file (for tests and examples)."""
-    n, record = len(x), LEAST_RECORD[fmt]
+def header_bytes(n: int, low: list[float], high: list[float], scale: float, fmt: int = 6, vlr: int = 0) -> bytes:
+    """A LAS 1.4 header for n records within low and high, after which come so many bytes of VLRs."""
     head = bytearray(375)
     head[:4] = b"LASF"
     head[24], head[25] = 1, 4
-    struct.pack_into("<HI", head, 94, 375, 375 + len(vlr))
-    struct.pack_into("<BHI", head, 104, fmt, record, 0)
+    struct.pack_into("<HI", head, 94, 375, 375 + vlr)
+    struct.pack_into("<BHI", head, 104, fmt, LEAST_RECORD[fmt], 0)
     struct.pack_into("<3d", head, 131, scale, scale, scale)
-    struct.pack_into("<6d", head, 179, max(x), min(x), max(y), min(y), max(z), min(z))
+    struct.pack_into("<6d", head, 179, *[v for pair in zip(high, low) for v in pair])
     struct.pack_into("<Q", head, 247, n)
-    rec = np.zeros(n, dtype=np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, 15 if fmt < 6 else 16], "itemsize": record}))
+    return bytes(head)
+
+
+def record_bytes(x, y, z, classes, scale: float, fmt: int = 6) -> bytes:
+    """Point records: scaled coordinates and the class, the rest zero."""
+    kind = np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, 15 if fmt < 6 else 16], "itemsize": LEAST_RECORD[fmt]})
+    rec = np.zeros(len(x), dtype=kind)
     for a, v in zip("xyz", (x, y, z)):
         rec[a] = np.round(np.asarray(v) / scale)
     rec["c"] = classes
+    return rec.tobytes()
+
+
+def make_las(path: str, x, y, z, classes, scale: float = 0.01, fmt: int = 6, vlr: bytes = b"") -> None:
+    """A small LAS 1.4 file (for tests and examples)."""
     with open(path, "wb") as f:
-        f.write(bytes(head) + vlr + rec.tobytes())
+        f.write(header_bytes(len(x), [min(x), min(y), min(z)], [max(x), max(y), max(z)], scale, fmt, len(vlr)) + vlr + record_bytes(x, y, z, classes, scale, fmt))
+
+
+def write_cloud(points: DataFrame, out: str, scale: float = 0.01) -> int:
+    """A new LAS 1.4 file of points (seq, x, y, z, classification) in order of seq; returns the count.
+
+    Coordinates are rounded to `scale`. Records are encoded in Arrow batches in parallel and stream to the writer one
+    partition at a time. An empty table gives a file without records.
+    """
+    box = points.agg(F.count("*"), *[f(a) for f in (F.min, F.max) for a in "xyz"]).first()
+
+    def pack(batches):
+        for b in batches:
+            x, y, z, c = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array([record_bytes(x, y, z, c, scale)], pa.binary())], ["data"])
+
+    rows = points.orderBy("seq").select("x", "y", "z", "classification").mapInArrow(pack, "data binary")
+    with open(out, "wb") as f:
+        f.write(header_bytes(box[0], [v or 0.0 for v in box[1:4]], [v or 0.0 for v in box[4:7]], scale))
+        for r in rows.toLocalIterator():
+            f.write(r["data"])
+    return box[0]

@@ -32,7 +32,8 @@ def read_landxml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     f = f.where("coalesce(_i, '0') <> '1'")
     ids = F.split(F.trim("_VALUE"), r"\s+")
     tri = f.select(*[ids[k].try_cast("long").alias(f"p{k + 1}") for k in range(3)]).dropna()
-    return points, tri.withColumn("tri_id", F.monotonically_increasing_id())
+    # the same id at every reading
+    return points, tri.withColumn("tri_id", F.xxhash64("p1", "p2", "p3"))
 
 
 def parse_vrml(text: str) -> Iterator[tuple]:

@@ -2,10 +2,10 @@
 
 import pytest
 
-from alidade.plans import alignment_queries, surface_queries
+from alidade.plans import alignment_queries, source_queries, surface_queries
 
-ALL = surface_queries.Q | alignment_queries.Q
-SQL = surface_queries.SQL | alignment_queries.SQL
+ALL = surface_queries.Q | alignment_queries.Q | source_queries.Q
+SQL = surface_queries.SQL | alignment_queries.SQL | source_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -41,7 +41,7 @@ def test_asc(spark, tmp_path):
     got = {(r.x, r.y): r.z for r in rasters.read_points(spark, str(tmp_path / "a.asc")).collect()}
     assert got == {(11.0, 23.0): 1.0, (13.0, 23.0): 2.0, (15.0, 23.0): 3.0, (11.0, 21.0): 4.0, (15.0, 21.0): 6.0}
     assert rasters.read_folder(spark, str(tmp_path), (10, 20, 16, 24)).count() == 5
-    assert rasters.read_folder(spark, str(tmp_path)).count() == 6 and rasters.peak_cell_size(str(tmp_path)) == 2
+    assert rasters.read_folder(spark, str(tmp_path)).count() == 6 and rasters.peak_cell_size(spark, str(tmp_path)) == 2
     cells = rasters.read_cells(spark, str(tmp_path / "a.asc"))
     assert [r.value for r in sinks.asc_rows(cells).orderBy("row").collect()] == ["1 2 3", "4 -9999 6"]
 
