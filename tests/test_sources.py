@@ -135,3 +135,30 @@ def test_stream(spark, tmp_path):
 def test_empty_export(spark):
     with pytest.raises(ValueError):
         sinks.dxf_lines(spark.createDataFrame([], "xa double, ya double, za double, xb double, yb double, zb double").withColumn("k", F.lit(1)))
+
+
+def test_empty_and_gapped_files(spark, cloud, tmp_path):
+    empty = spark.createDataFrame([], las.SCHEMA)
+    assert las.write_cloud(empty, str(tmp_path / "none.las")) == 0 and las.read_las(spark, str(tmp_path / "none.las")).count() == 0
+    wanted = [0, 1, 2, 7, 9, 10, 299]
+    rows = spark.createDataFrame([(k,) for k in reversed(wanted)], "seq long")
+    assert las.write_las(rows, cloud[0], str(tmp_path / "some.las"), block=2) == 7
+    got = [r.x for r in las.read_las(spark, str(tmp_path / "some.las")).orderBy("seq").collect()]
+    assert np.allclose(got, [cloud[1][k] for k in wanted])
+    assert las.write_las(rows.where("false"), cloud[0], str(tmp_path / "none.las")) == 0
+    assert rasters.read_folder(spark, str(tmp_path)).count() == 0 and rasters.peak_cell_size(spark, str(tmp_path)) == 0
+
+
+def test_grids_in_many_splits(spark, tmp_path):
+    """Rows broken over lines, files in several splits and a blank in a name; each file has its own NODATA."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, xll, none in (("a", 0, "-9999"), ("b c", 100, "7")):
+        lines = [" ".join(str(v) for v in range(k, k + 5)) for k in range(0, 60, 5)]
+        (tmp_path / f"{name}.asc").write_text(f"ncols 6\nnrows 10\nxllcorner {xll}\nyllcorner 0\ncellsize 1\nNODATA_value {none}\n" + "\n".join(lines) + "\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+        got = {(r.x, r.y): r.z for r in rasters.read_folder(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {(x + k % 6 + 0.5, 9.5 - k // 6): float(k) for x in (0, 100) for k in range(60) if (x, k) != (100, 7)}
+    assert got == want
