@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alidade.llm import bpe, fingerprints, licences, line_dedup, mixing, ngram_join, pieces, quality, secrets, sharding
+from alidade.llm import bpe, filters, fingerprints, licences, line_dedup, mixing, ngram_join, pieces, quality, ranked, secrets, sharding, suffixes
 
 MODULES = {
     "op1_licence_scan": licences,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_fingerprints": fingerprints,
     "op9_quality_rules": quality,
     "op10_source_mixing": mixing,
+    "op11_suffix_dedup": suffixes,
+    "op12_ranked_search": ranked,
+    "op13_filter_audit": filters,
 }
 
 
