@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alidade.llm.common import documents, drop, written
+from alidade.llm.common import documents, drop, join_by_size, written
 
 FILTERS = "ABCDE"
 #: UTF-8 bytes up to the end of the first block; each end is four times the one before, and the last block holds the rest.
@@ -86,16 +86,18 @@ def duplicates(docs: DataFrame, table: DataFrame) -> DataFrame:
         before, rows = rows, written(_shared(finer, ["points", "cls"]), "class")
         drop(before)
         step += 1
-    # the whole texts: as a rule a class holds one text, whose least id then stands for it
+    # the whole texts of what is left: as a rule a class holds one text, whose least id then stands for it
     ids = rows.select("doc_id", "points", "cls")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("points", F.length("text").cast("long")).join(ids, ["doc_id", "points"])
+    texts = join_by_size(texts.withColumn("points", F.length("text").cast("long")), ids, ["doc_id", "points"])
     alike = written(texts.groupBy("points", "cls", "text").agg(F.min("doc_id").alias("least")), "texts")
     single = alike.groupBy("points", "cls").agg(F.min("least").alias("least"), F.count("*").alias("n"))
-    plain = ids.join(single.where("n = 1").drop("n"), ["points", "cls"])
+    found = join_by_size(ids, written(single.where("n = 1").drop("n"), "classes"), ["points", "cls"])
     mixed = alike.join(single.where("n > 1").select("points", "cls"), ["points", "cls"], "left_semi")
-    mixed = texts.join(mixed, ["points", "cls", "text"]).select("points", "cls", "doc_id", "least")
-    return plain.unionByName(mixed).where("doc_id > least").select("doc_id", "points", "cls").distinct()
+    if mixed.limit(1).count():
+        mixed = texts.join(mixed, ["points", "cls", "text"]).select("points", "cls", "doc_id", "least")
+        found = found.unionByName(mixed)
+    return found.where("doc_id > least").select("doc_id", "points", "cls").distinct()
 
 
 def masks(docs: DataFrame, part: str = "source", block: int = FIRST) -> DataFrame:
