@@ -10,15 +10,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alidade.llm.common import documents, join_by_size, written
+from alidade.llm.common import documents, drop, join_by_size, written
 
 TOP = 20
 #: Query terms up to this many go to the tasks as one set; with more of them, all postings are made and joined with them.
 MOST_TERMS = 200_000
+#: Terms of all queries of one block.
+MOST_PAIRS = 500_000
 
 #: ASCII letters and digits stay, A-Z in lower case; every other ASCII character ends a term. Bytes from 80 up, that is all
 #: other characters, belong to terms, so that terms are cut on UTF-8 bytes.
@@ -59,9 +62,10 @@ def query_terms(items: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(_item_terms, "qid long, item_id long, term string, times long"), "query-terms")
 
 
-def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Table (term, rid, doc_id, impact) of the asked terms over all documents: lists by descending impact, cut into ranges of
-    (term, impact), so that a long list lies in several. rid numbers the rows of docs; the impact is weight times share."""
+def postings(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (tid, rid, doc_id, impact) of the asked terms over all documents and (term, tid). A list lies by descending
+    impact, and ranges of (tid, impact) make the partitions, so that a long list lies in several. rid numbers the rows of
+    docs; the impact is weight times share."""
     spark = docs.sparkSession
     names = asked.select("term").distinct()
     few = names.limit(MOST_TERMS + 1).count() <= MOST_TERMS
@@ -74,13 +78,15 @@ def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
         lists = lists.join(names, "term", "left_semi")
     n_docs, length = n_docs or 0, max(1, length or 0)
     ratio = F.lit(2 * n_docs + 2).cast("double") / (2 * F.col("df") + 1).cast("double")
-    weights = written(lists.groupBy("term").agg(F.count("*").alias("df")).select("term", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("w")), "weights")
-    norm = F.expr(f"75 + (25 * n * {n_docs}L) div {length}L")
-    lists = join_by_size(lists, weights, ["term"]).withColumn("m", norm)
-    lists = lists.select("term", "rid", "doc_id", F.expr("w * ((1000000000L * tf) div (1000 * tf + 12 * m))").alias("impact")).where("impact > 0")
+    weights = lists.groupBy("term").agg(F.count("*").alias("df")).select("term", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("w"))
+    weights = written(weights.withColumn("tid", F.monotonically_increasing_id()), "weights")
+    lists = join_by_size(lists, weights, ["term"]).withColumn("m", F.expr(f"75 + (25 * n * {n_docs}L) div {length}L"))
+    lists = lists.select("tid", "rid", "doc_id", F.expr("w * ((1000000000L * tf) div (1000 * tf + 12 * m))").alias("impact")).where("impact > 0")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["term", F.col("impact").desc(), "rid"]
-    return written(lists.repartitionByRange(parts, *order).sortWithinPartitions(*order), "postings")
+    order = ["tid", F.col("impact").desc(), "rid"]
+    found = written(lists.repartitionByRange(parts, *order).sortWithinPartitions(*order), "postings")
+    drop(raw)
+    return found, weights.select("term", "tid")
 
 
 def _best(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
@@ -93,36 +99,102 @@ def _bound(sums: DataFrame, name: str, k: int) -> DataFrame:
     return _best(sums, "qid", [F.col("sum").desc()], k).groupBy("qid").agg(F.min("sum").alias(name), F.count("*").alias("c")).where(F.col("c") == k).drop("c")
 
 
+class Lists:
+    """The queries of a block by term: which query wants which list, how often, and from which impact on."""
+
+    def __init__(self, rows: list) -> None:
+        rows = sorted(rows, key=lambda r: r.tid)
+        self.qids = np.array(sorted({r.qid for r in rows}), np.int64)
+        self.tids, self.first = np.unique(np.array([r.tid for r in rows], np.int64), return_index=True)
+        self.size = np.diff(np.append(self.first, len(rows)))
+        self.query = np.searchsorted(self.qids, np.array([r.qid for r in rows], np.int64))
+        self.times = np.array([r.times for r in rows], np.int64)
+        of_query = {r.qid: (r.m, r.low) for r in rows}
+        self.m, self.low = (np.array([of_query[q][i] for q in self.qids.tolist()], np.int64) for i in (0, 1))
+        least = -(-self.low[self.query] // (self.m[self.query] * self.times))
+        self.least = np.maximum(1, least)
+
+    def sums(self, docs: np.ndarray, tids: np.ndarray, impacts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, lists seen) as n documents x queries, of postings given by document number, list and impact."""
+        at = np.searchsorted(self.tids, tids)
+        size = self.size[at]
+        pair = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        value = np.repeat(impacts, size)
+        fetched = value >= self.least[pair]
+        pair, value = pair[fetched], value[fetched] * self.times[pair[fetched]]
+        cell = np.repeat(docs, size)[fetched] * len(self.qids) + self.query[pair]
+        shape, cells = (n, len(self.qids)), n * len(self.qids)  # sums stay far below 2^53
+        return np.bincount(cell, value, cells).astype(np.int64).reshape(shape), np.bincount(cell, minlength=cells).reshape(shape)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], lists: Lists) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rids, sums, seen) of some documents at a time."""
+    step = max(1, 2_000_000 // max(1, len(lists.qids)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            b = batch.slice(at, step)
+            sizes = np.diff(b.column("tids").offsets.to_numpy())
+            tids, impacts = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("tids", "impacts"))
+            yield b.column("rid").to_numpy(), *lists.sums(np.repeat(np.arange(len(sizes)), sizes), tids, impacts, len(sizes))
+
+
+def _best_sums(batches: Iterator[pa.RecordBatch], lists: Lists, k: int) -> Iterator[pa.RecordBatch]:
+    """(qid, sum): the k best sums of each query over the task's documents."""
+    best = np.zeros((0, len(lists.qids)), np.int64)
+    for _, sums, _ in _blocks(batches, lists):
+        best = -np.sort(-np.concatenate([best, sums]), axis=0)[:k]
+    q = np.broadcast_to(lists.qids, best.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(q[best > 0]), pa.array(best[best > 0])], ["qid", "sum"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], lists: Lists, better: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(qid, rid) whose upper bound reaches the k-th best sum: a list in which a document was not seen brings less than low / m."""
+    for rids, sums, seen in _blocks(batches, lists):
+        doc, q = np.nonzero((seen > 0) & (sums * lists.m + (lists.m - seen) * lists.low >= better * lists.m))
+        yield pa.RecordBatch.from_arrays([pa.array(lists.qids[q]), pa.array(rids[doc])], ["qid", "rid"])
+
+
+def _searched(lists: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of known (qid, item_id, tid, times, m), one block of queries."""
+    spark = lists.sparkSession
+    heads = written(_best(lists, "tid", [F.col("impact").desc(), F.col("rid")], k).select("tid", "rid", "impact"), "heads")
+    sums = known.join(heads, "tid").groupBy("qid", "rid").agg(F.sum(F.col("times") * F.col("impact")).alias("sum"))
+    limits = known.join(_bound(sums, "low", k), "qid", "left").withColumn("low", F.coalesce("low", F.lit(0)))
+    block = Lists(limits.select("qid", "tid", "times", "m", "low").collect())
+    drop(heads)
+    least = [(int(t), int(i)) for t, i in zip(block.tids, np.minimum.reduceat(block.least, block.first))]
+    fetched = lists.select("tid", "rid", "impact").join(F.broadcast(spark.createDataFrame(least, "tid long, least long")), "tid").where("impact >= least")
+    fetched = written(fetched.groupBy("rid").agg(F.collect_list("tid").alias("tids"), F.collect_list("impact").alias("impacts")), "fetched")
+    better = {r.qid: r.better for r in _bound(fetched.mapInArrow(lambda b: _best_sums(b, block, k), "qid long, sum long"), "better", k).collect()}
+    better = np.array([better.get(q, 0) for q in block.qids.tolist()], np.int64)
+    candidates = written(fetched.mapInArrow(lambda b: _candidates(b, block, better), "qid long, rid long"), "candidates")
+    drop(fetched)
+    looked_up = join_by_size(lists, candidates.select("rid").distinct(), ["rid"]).join(candidates, "rid").join(known.select("qid", "item_id", "tid", "times"), ["qid", "tid"])
+    scores = looked_up.groupBy("qid", "item_id", "rid", "doc_id").agg(F.sum(F.col("times") * F.col("impact")).alias("score"))
+    ranked = _best(scores, "qid", [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("rid")], k)
+    return ranked.select("item_id", F.col("place").cast("int").alias("rank"), "doc_id", "score")
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     """The k best documents of each item: item_id, rank, doc_id, score; equal scores by ascending doc_id.
 
     All rows of docs (doc_id, text) are searched; a null or empty text has no terms. Rows that repeat a doc_id are documents
     of their own and rank beside each other; a null id comes last among equal scores. Rows that repeat an item, or its id,
-    are queries of their own. Items without terms, and terms that no document holds, bring no rows.
+    are queries of their own. Items without terms, and terms that no document holds, bring no rows. Queries are taken in
+    blocks of about MOST_PAIRS terms, which alone are sent to the tasks.
     """
     asked = query_terms(items)
-    lists = postings(docs, asked)
-    lengths = lists.groupBy("term").agg(F.max("impact").alias("most"))
-    known = asked.join(lengths, "term")
-    known = written(known.withColumn("m", F.count("*").over(Window.partitionBy("qid"))), "known")
-
-    heads = written(_best(lists, "term", [F.col("impact").desc(), F.col("rid")], k).select("term", "rid", "impact"), "heads")
-    sums = known.join(heads, "term").groupBy("qid", "rid").agg(F.sum(F.col("times") * F.col("impact")).alias("sum"))
-    low = written(_bound(sums, "low", k), "low")
-
-    limits = written(known.join(low, "qid", "left").withColumn("low", F.coalesce("low", F.lit(0))), "limits")
-    fetched = join_by_size(lists.select("term", "rid", "impact"), limits, ["term"]).where(F.col("times") * F.col("impact") * F.col("m") >= F.col("low"))
-    sums = fetched.groupBy("qid", "rid").agg(F.sum(F.col("times") * F.col("impact")).alias("sum"), F.count("*").alias("seen"), F.first("m").alias("m"), F.first("low").alias("low"))
-    sums = written(sums, "sums")
-    bounded = sums.join(written(_bound(sums, "better", k), "better"), "qid", "left")
-    # each list in which the document was not seen brings less than low / m
-    reach = F.col("sum") * F.col("m") + (F.col("m") - F.col("seen")) * F.col("low") >= F.coalesce("better", F.lit(0)) * F.col("m")
-    candidates = bounded.where(reach).select("qid", "rid")
-
-    looked_up = candidates.join(known.select("qid", "item_id", "term", "times"), "qid").join(lists, ["term", "rid"])
-    scores = looked_up.groupBy("qid", "item_id", "rid", "doc_id").agg(F.sum(F.col("times") * F.col("impact")).alias("score"))
-    ranked = _best(scores, "qid", [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("rid")], k)
-    return ranked.select("item_id", F.col("place").cast("int").alias("rank"), "doc_id", "score")
+    lists, ids = postings(docs, asked)
+    present = lists.select("tid").distinct()
+    known = asked.join(ids.join(present, "tid"), "term")
+    known = written(known.withColumn("m", F.count("*").over(Window.partitionBy("qid"))).drop("term"), "known")
+    blocks = max(1, -(-known.count() // MOST_PAIRS))
+    found = None
+    for i in range(blocks):
+        some = known if blocks == 1 else known.where(F.abs(F.xxhash64("qid")) % blocks == i)
+        part = _searched(lists, some, k)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
