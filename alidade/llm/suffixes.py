@@ -449,7 +449,8 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
     names = ("n_bytes", "removed_spans", "kept")
     keep = [c for c in docs.columns if c.lower() not in names]
     cut = cut_texts(docs, text, length)
-    rows = _keyed(docs, text).join(cut, (F.col("__k1") == cut["k1"]) & (F.col("__k2") == cut["k2"]), "left")
+    cut = cut.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "removed_spans", "kept")
+    rows = _keyed(docs, text).select(*(F.col(f"`{c}`") for c in keep), "__text", "__k1", "__k2").join(cut, ["__k1", "__k2"], "left")
     spans = F.coalesce("removed_spans", F.expr("cast(array() as array<struct<start: long, end: long>>)"))
     return rows.select(*(F.col(f"`{c}`") for c in keep), F.octet_length("__text").cast("long").alias("n_bytes"), spans.alias("removed_spans"), F.coalesce("kept", "__text").alias("kept"))
 
