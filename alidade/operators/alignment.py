@@ -22,8 +22,8 @@ def kind(d_in: Column, d_out: Column) -> Column:
 def spiral_xy(length: Column, theta: Column) -> tuple[Column, Column]:
     """Along and right of the flat end's tangent, for a signed angle theta in radians (five terms each)."""
     t2 = theta * theta
-    x = length * (1 - t2 / 10 + t2**2 / 216 - t2**3 / 9360 + t2**4 / 685440)
-    y = length * theta * (F.lit(1.0) / 3 - t2 / 42 + t2**2 / 1320 - t2**3 / 75600 + t2**4 / 6894720)
+    x = length * (1 - t2 * (1 / 10 - t2 * (1 / 216 - t2 * (1 / 9360 - t2 / 685440))))
+    y = length * theta * (1 / 3 - t2 * (1 / 42 - t2 * (1 / 1320 - t2 * (1 / 75600 - t2 / 6894720))))
     return x, y
 
 
@@ -190,15 +190,52 @@ def spiral_anchor() -> Column:
     return F.when(spiral & (F.abs("degree_in") < KIND_TOLERANCE), F.col("begin_sta")).when(spiral & (F.abs("degree_out") < KIND_TOLERANCE), F.col("end_sta"))
 
 
-def chords(segments: DataFrame, parts: int = 64) -> DataFrame:
-    """segments with each spiral replaced by `parts` lines between points on it; their lengths are those along the spiral."""
-    straight = segments.where("kind != 'spiral'")
-    n = F.lit(float(parts))
-    s = segments.where("kind = 'spiral' and x0 is not null").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    (ax, ay, _), (bx, by, _) = (_at(F.col("length") * (F.col("k") + i) / n, F.lit(0.0)) for i in (0, 1))
-    s = s.withColumns({"ax": ax, "ay": ay, "bx": bx, "by": by, "begin_sta": F.col("begin_sta") + F.col("length") * F.col("k") / n, "length": F.col("length") / n, "kind": F.lit("line")})
-    s = s.withColumns({"x0": F.col("ax"), "y0": F.col("ay"), "x1": F.col("bx"), "y1": F.col("by"), "end_sta": F.col("begin_sta") + F.col("length")})
-    return straight.unionByName(s.select(*straight.columns))
+def arc_point(l: Column) -> tuple[Column, Column]:
+    """x and y at distance l along the row's arc."""
+    start = azimuth(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))
+    return v.at_azimuth(F.col("cx"), F.col("cy"), start + F.col("turn") * l / F.col("length"), F.col("radius"))
+
+
+class FlatEnd:
+    """Spirals seen from their flat ends: columns to add to the rows, and the course in terms of them."""
+
+    @staticmethod
+    def columns() -> dict[str, Column]:
+        """The flat end's place, the unit vectors onward and to the right, the way from there to l (spiral_from +
+        spiral_way * l), and the angle there by the square of the way."""
+        opens = F.abs(F.col("degree_in")) < KIND_TOLERANCE
+        either = lambda a, b: F.when(opens, a).otherwise(b)
+        az = F.radians(either(F.col("az0"), F.col("az1")))
+        way = either(F.lit(1.0), F.lit(-1.0))
+        return {
+            "flat_x": either(F.col("x0"), F.col("x1")), "flat_y": either(F.col("y0"), F.col("y1")),
+            "on_x": way * F.sin(az), "on_y": way * F.cos(az), "right_x": F.cos(az), "right_y": -F.sin(az),
+            "spiral_from": either(F.lit(0.0), F.col("length")), "spiral_way": way, "spiral_bend": F.radians("turn") / (F.col("length") * F.col("length")),
+        }
+
+    @staticmethod
+    def along(l: Column, onward: Column, right: Column) -> Column:
+        """onward * (distance along the flat tangent at l) + right * (distance beside it)."""
+        way = F.col("spiral_from") + F.col("spiral_way") * l
+        x, y = spiral_xy(way, F.col("spiral_bend") * way * way)
+        return onward * x + right * y
+
+    @classmethod
+    def point(cls, l: Column) -> tuple[Column, Column]:
+        return F.col("flat_x") + cls.along(l, F.col("on_x"), F.col("right_x")), F.col("flat_y") + cls.along(l, F.col("on_y"), F.col("right_y"))
+
+    @staticmethod
+    def parallel(dx: Column, dy: Column) -> Column:
+        """l at which the spiral runs along the direction (dx, dy), one way or the other; NULL if nowhere.
+
+        The angle from the flat tangent grows with the square of the way. Of several such places on a spiral of half a
+        turn and more, the one nearest to the flat end is given.
+        """
+        way, bend = F.col("spiral_way"), F.col("spiral_bend")
+        # on a spiral that is run against its course, the angle seen from the flat end turns the other way
+        need = pmod(F.degrees(F.atan2(dx, dy) - F.atan2(-F.col("right_y"), F.col("right_x"))) * F.signum(bend * way), 180.0)
+        back = F.sqrt(F.radians(need) / F.abs(bend))
+        return F.when(back <= F.col("length"), (back - F.col("spiral_from")) * way)
 
 
 def spiral_to_station(points: DataFrame, segments: DataFrame) -> DataFrame:

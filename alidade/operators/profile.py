@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alidade.functions.angles import azimuth, nullable_sum, pmod
+from alidade.functions.angles import azimuth, nullable_sum, pmod, root_by_false_position
 from alidade.operators import alignment as al
 from alidade.operators import surface as s
 from alidade.operators.ranges import lookup
+from alidade.tables import written
 
 CURVE = ["profile_id", "seq", "begin_sta", "end_sta", "begin_el", "g1", "g2", "is_gap"]
 
@@ -175,38 +178,104 @@ def two_slopes_x(x1: Column, y1: Column, m1: Column, x2: Column, y2: Column, m2:
     return F.try_divide(y2 - y1 + m1 * x1 - m2 * x2, m1 - m2)
 
 
-def cut(tv, points: DataFrame, segments: DataFrame, size: float, parts: int = 64) -> DataFrame:
+#: Share of a cell by which walks are widened, so that a crossing on a cell's border is found from both sides.
+_HAIR = 1e-9
+#: Most degrees that a piece of an arc or spiral turns; its tangent then meets a given direction once at most.
+_TURN = 30.0
+
+
+def _walk(df: DataFrame, size: float, wide: Column | float = 0.0) -> DataFrame:
+    """df (wx0, wy0, wx1, wy1) with the cells gx, gy that the line between the two points passes within `wide`: columns first,
+    then the rows that the line has in each column. Cells grow with its length, not with its box."""
+    hair = wide + F.lit(size * _HAIR)
+    df = df.withColumns({"wl": F.least("wx0", "wx1") - hair, "wr": F.greatest("wx0", "wx1") + hair})
+    df = df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("wl") / size), F.floor(F.col("wr") / size))))
+    dx, dy = F.col("wx1") - F.col("wx0"), F.col("wy1") - F.col("wy0")
+    at = lambda x: F.col("wy0") + F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - F.col("wx0")) / dx)) * dy
+    steep = F.abs(dx) <= F.abs(dy) * 1e-12
+    left, right = at(F.col("gx") * size - hair), at((F.col("gx") + 1) * size + hair)
+    low = F.when(steep, F.least("wy0", "wy1")).otherwise(F.least(left, right))
+    high = F.when(steep, F.greatest("wy0", "wy1")).otherwise(F.greatest(left, right))
+    df = df.withColumns({"wl": low - hair, "wr": high + hair})
+    return df.withColumn("gy", F.explode(F.sequence(F.floor(F.col("wl") / size), F.floor(F.col("wr") / size)))).drop("wl", "wr", "wx0", "wy0", "wx1", "wy1")
+
+
+def _pieces(curved: DataFrame, size: float, point: Callable) -> DataFrame:
+    """Arcs or spirals in pieces [l0, l1] of about a cell's length, walked along their chords, as wide as they bulge."""
+    n = F.greatest(F.lit(1.0), F.ceil(F.col("length") / size), F.ceil(F.abs("turn") * 2 / _TURN))
+    df = curved.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("n") - 1).cast("long"))))
+    df = df.withColumns({"l0": F.col("length") * F.col("i") / F.col("n"), "l1": F.col("length") * (F.col("i") + 1) / F.col("n")}).drop("i", "n")
+    (ax, ay), (bx, by) = point(F.col("l0")), point(F.col("l1"))
+    # a chord's arc rises by length^2 * curvature / 8 at most; a spiral's curvature ends at twice its mean
+    bulge = (F.col("l1") - F.col("l0")) ** 2 * F.try_divide(F.radians(F.abs("turn")) * 2, F.col("length")) / 8
+    return _walk(df.withColumns({"wx0": ax, "wy0": ay, "wx1": bx, "wy1": by}), size, bulge)
+
+
+def _crossings(kind: str, segments: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """(align_id, station, elevation) of crossings of segments of one kind with edges, which may repeat."""
+    ex, ey = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
+
+    def hit(t: Column, u: Column) -> Column:  # distance along the segment and part of the edge
+        return F.struct(t.alias("l"), u.alias("u"))
+
+    if kind == "line":
+        g = _walk(segments.withColumns({"wx0": F.col("x0"), "wy0": F.col("y0"), "wx1": F.col("x1"), "wy1": F.col("y1")}), size)
+        dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+        m = g.join(edges, ["gx", "gy"]).withColumn("det", dx * ey - dy * ex).where("det != 0")
+        t = ((F.col("xa") - F.col("x0")) * ey - (F.col("ya") - F.col("y0")) * ex) / F.col("det")
+        u = ((F.col("xa") - F.col("x0")) * dy - (F.col("ya") - F.col("y0")) * dx) / F.col("det")
+        m = m.withColumn("h", hit(t * F.col("length"), u)).where("h.l >= 0 and h.l <= length")
+    elif kind == "arc":
+        m = _pieces(segments, size, al.arc_point).join(edges, ["gx", "gy"])
+        # |a + u e - c|^2 = r^2
+        fx, fy = F.col("xa") - F.col("cx"), F.col("ya") - F.col("cy")
+        m = m.withColumns({"qa": ex * ex + ey * ey, "qb": ex * fx + ey * fy, "qc": fx * fx + fy * fy - F.col("radius") * F.col("radius")})
+        m = m.withColumn("disc", F.col("qb") * F.col("qb") - F.col("qa") * F.col("qc")).where("disc >= 0 and qa > 0")
+        m = m.withColumn("u", F.explode(F.array(*[(-F.col("qb") + sign * F.sqrt("disc")) / F.col("qa") for sign in (-1, 1)]))).where("u >= 0 and u <= 1")
+        start = azimuth(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))
+        way = pmod((azimuth(fx + F.col("u") * ex, fy + F.col("u") * ey) - start) * F.col("dir"), 360.0)
+        m = m.withColumn("h", hit(F.try_divide(way, F.abs("turn")) * F.col("length"), F.col("u"))).where("h.l >= 0 and h.l <= length")
+    else:
+        course = al.FlatEnd
+        m = _pieces(segments.withColumns(course.columns()), size, course.point).join(edges, ["gx", "gy"])
+        m = m.withColumns({"e0": (F.col("flat_x") - F.col("xa")) * ey - (F.col("flat_y") - F.col("ya")) * ex, "eo": F.col("on_x") * ey - F.col("on_y") * ex, "er": F.col("right_x") * ey - F.col("right_y") * ex})
+
+        def aside(l: Column) -> Column:  # of the edge's line, in its length
+            return F.col("e0") + course.along(l, F.col("eo"), F.col("er"))
+
+        # the piece runs along the edge's direction at one place at most; on both sides of it there is one crossing or none
+        middle = F.least(F.col("l1"), F.greatest(F.col("l0"), F.coalesce(course.parallel(ex, ey), F.col("l0"))))
+        m = m.withColumn("lm", F.explode(F.array(middle))).withColumns(  # exploded, so that it is worked out once
+            {"f0": aside(F.col("l0")), "fm": aside(F.col("lm")), "f1": aside(F.col("l1"))}
+        )
+        m = m.where("least(f0, fm, f1) <= 0 and greatest(f0, fm, f1) >= 0")
+        part = lambda a, b: F.struct(F.col(f"l{a}").alias("a"), F.col(f"l{b}").alias("b"), (F.col(f"f{a}") * F.col(f"f{b}") <= 0).alias("crossed"))
+        m = m.withColumn("s", F.explode(F.array(part("0", "m"), part("m", "1")))).where("s.crossed and s.b > s.a").withColumns({"a": F.col("s.a"), "b": F.col("s.b")})
+        m = m.withColumn("l", F.explode(F.array_compact(F.array(root_by_false_position(aside, F.col("a"), F.col("b"), F.lit(0.0))))))
+        x, y = course.point(F.col("l"))
+        m = m.withColumns({"px": x, "py": y})
+        m = m.withColumn("h", hit(F.col("l"), ((F.col("px") - F.col("xa")) * ex + (F.col("py") - F.col("ya")) * ey) / (ex * ex + ey * ey)))
+    m = m.where("h.u >= 0 and h.u <= 1")
+    return m.select("align_id", (F.col("begin_sta") + F.col("h.l")).alias("station"), (F.col("za") + F.col("h.u") * (F.col("zb") - F.col("za"))).alias("elevation"))
+
+
+def cut(tv, points: DataFrame, segments: DataFrame, size: float) -> DataFrame:
     """(align_id, station, elevation): crossings of valid surface edges and an alignment, one per 1e-4 of station.
 
-    Edges and segments meet on grid cells (an equi-join), then by their boxes, then by the crossing itself: of two lines,
-    or of an edge with an arc's circle within its sweep. A spiral counts as `parts` chords.
+    Edges and segments walk the cells of a grid and meet there by an equi-join, then by the crossing itself: of two lines,
+    of an edge with an arc's circle within its sweep, or of an edge's line with a spiral, whose pieces are parted where they
+    run along the edge so that each part crosses it once at most. Only kinds of segments that occur are in the plan.
     """
     e = s.edge_lengths(s.edges(tv), points)
-    box = {"exmin": F.least("xa", "xb"), "exmax": F.greatest("xa", "xb"), "eymin": F.least("ya", "yb"), "eymax": F.greatest("ya", "yb")}
-    e = e.withColumns(box).withColumn("gx", F.explode(F.sequence(F.floor(F.col("exmin") / size), F.floor(F.col("exmax") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("eymin") / size), F.floor(F.col("eymax") / size))))
-    g = al.chords(segments, parts).where("x0 is not null").withColumns(al.arc_box())
-    g = g.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xmin") / size), F.floor(F.col("xmax") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("ymin") / size), F.floor(F.col("ymax") / size))))
-    m = g.join(e, ["gx", "gy"]).where("exmin <= xmax and xmin <= exmax and eymin <= ymax and ymin <= eymax")
-    ex, ey = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
-
-    def hit(t: Column, u: Column) -> Column:  # parts of the segment and of the edge
-        return F.struct(t.alias("t"), u.alias("u"))
-
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    det = dx * ey - dy * ex
-    line = hit(F.try_divide((F.col("xa") - F.col("x0")) * ey - (F.col("ya") - F.col("y0")) * ex, det), F.try_divide((F.col("xa") - F.col("x0")) * dy - (F.col("ya") - F.col("y0")) * dx, det))
-    # |a + u e - c|^2 = r^2
-    fx, fy = F.col("xa") - F.col("cx"), F.col("ya") - F.col("cy")
-    qa, qb, qc = ex * ex + ey * ey, ex * fx + ey * fy, fx * fx + fy * fy - F.col("radius") * F.col("radius")
-    disc = qb * qb - qa * qc
-    root = F.sqrt(F.when(disc >= 0, disc))
-    start = azimuth(F.col("x0") - F.col("cx"), F.col("y0") - F.col("cy"))
-    way = lambda u: F.try_divide(pmod((azimuth(fx + u * ex, fy + u * ey) - start) * F.col("dir"), 360.0), F.abs("turn"))
-    ends = [F.try_divide(-qb - root, qa), F.try_divide(-qb + root, qa)]
-    arcs = F.array(*[hit(way(u), u) for u in ends])
-    m = m.withColumn("h", F.explode(F.when(F.col("kind") == "arc", arcs).otherwise(F.array(line)))).where("h.t >= 0 and h.t <= 1 and h.u >= 0 and h.u <= 1")
-    m = m.select("align_id", (F.col("begin_sta") + F.col("h.t") * F.col("length")).alias("station"), (F.col("za") + F.col("h.u") * (F.col("zb") - F.col("za"))).alias("elevation"))
-    best = m.groupBy("align_id", F.floor(F.col("station") * 10000 + 1e-6).alias("key")).agg(F.min(F.struct("station", "elevation")).alias("p"))
+    e = _walk(e.withColumns({"wx0": F.col("xa"), "wy0": F.col("ya"), "wx1": F.col("xb"), "wy1": F.col("yb")}), size).select("gx", "gy", "xa", "ya", "za", "xb", "yb", "zb")
+    g = written(segments.where("x0 is not null"))
+    found = None
+    for kind in sorted(r.kind for r in g.select("kind").distinct().collect()):  # line, arc, spiral
+        more = _crossings(kind, g.where(F.col("kind") == kind), e, size)
+        found = more if found is None else found.unionByName(more)
+    if found is None:
+        return segments.sparkSession.createDataFrame([], "align_id long, station double, elevation double")
+    best = found.groupBy("align_id", F.floor(F.col("station") * 10000 + 1e-6).alias("key")).agg(F.min(F.struct("station", "elevation")).alias("p"))
     return best.select("align_id", "p.station", "p.elevation")
 
 

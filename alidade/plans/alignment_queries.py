@@ -577,3 +577,53 @@ def _p16_arcs(spark, d):
     p, tv = x.lattice(spark, d)
     c = pr.cut(tv, p, curved_route(spark, d), 8.0)
     return c.select("align_id", R(F.col("station")).alias("station"), R(F.col("elevation")).alias("elevation"))
+
+
+def spiral_route(spark, d):
+    """A spiral into an arc and one out of it, in each region."""
+    r = x.table(spark, d, "region")
+    heads = r.select(F.col("r_regionkey").cast("long").alias("align_id"), (F.col("r_regionkey") * 9.3 + 2.1).alias("x"), F.lit(3.7).alias("y"), F.lit(0.0).alias("station"), (F.col("r_regionkey") * 8.0 + 7).alias("azimuth_deg"))
+    deg = F.when(F.col("r_regionkey") % 2 == 0, 200.0).otherwise(-200.0)
+    part = lambda k, g, n, o: F.struct(F.lit(k).alias("seq"), g.alias("degree_in"), F.lit(n).alias("length"), o.alias("degree_out"))
+    e = r.select(F.col("r_regionkey").cast("long").alias("align_id"), F.explode(F.array(part(0, F.lit(0.0), 40.0, deg), part(1, deg, 24.0, F.lit(0.0)))).alias("e")).select("align_id", "e.*")
+    return al.chain(e, heads)
+
+
+def _spiral_at(l: str) -> str:
+    """x and y at l of the first spiral (40 long) or, from 40 on, of the second (24 long), seen from its own flat end."""
+    th = lambda v, n, t: f"(radians({t}*dir)*({v})*({v})/{n * n}.0)"
+    sx = lambda v, t: f"(({v})*(1-{t}**2/10+{t}**4/216-{t}**6/9360+{t}**8/685440))"
+    sy = lambda v, t: f"(({v})*{t}*(1/3.0-{t}**2/42+{t}**4/1320-{t}**6/75600+{t}**8/6894720))"
+    one, two = (l, th(l, 40, 40)), (f"(64-{l})", th(f"(64-{l})", 24, 24))
+    x1, y1, x2, y2 = sx(*one), sy(*one), sx(*two), sy(*two)
+    return f"CASE WHEN {l}<40 THEN x0+{x1}*sin(az)+{y1}*cos(az) ELSE x2-{x2}*sin(az2)+{y2}*cos(az2) END AS x, CASE WHEN {l}<40 THEN y0+{x1}*cos(az)-{y1}*sin(az) ELSE y2-{x2}*cos(az2)-{y2}*sin(az2) END AS y"
+
+
+_NEXT = "SELECT align_id, k, za, ez, xa, ya, ex, ey, x0, y0, az, dir, x2, y2, az2, CASE WHEN f*fa<=0 THEN a ELSE m END AS a, CASE WHEN f*fa<=0 THEN fa ELSE f END AS fa, CASE WHEN f*fa<=0 THEN m ELSE b END AS b, CASE WHEN f*fa<=0 THEN f ELSE fb END AS fb"
+_ZERO = "(SELECT *, CASE WHEN fb=fa THEN a ELSE (a*fb-b*fa)/(fb-fa) END AS m FROM {})"
+
+
+def _refined(n: int) -> str:
+    """n steps of false position, each a table."""
+    out = []
+    for i in range(n):
+        out.append(f"z{i + 1} AS ({_NEXT} FROM (SELECT *, (x-xa)*ey-(y-ya)*ex AS f FROM (SELECT *, {_spiral_at('m')} FROM {_ZERO.format(f'z{i}')})))")
+    return ", ".join(out)
+
+
+@add("p16_cut_spirals", f"""WITH {x.SURF}, {x.EDGES}, ed AS (SELECT a.x AS xa, a.y AS ya, a.z AS za, b.x-a.x AS ex, b.y-a.y AS ey, b.z-a.z AS ez FROM e JOIN lp a ON a.point_id=pa JOIN lp b ON b.point_id=pb),
+ sa AS (SELECT CAST(r_regionkey AS BIGINT) AS align_id, r_regionkey*9.3::DOUBLE+2.1 AS x0, 3.7::DOUBLE AS y0, radians(r_regionkey*8.0::DOUBLE+7) AS az, CASE WHEN r_regionkey%2=0 THEN 1 ELSE -1 END AS dir, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y2, 0.0::DOUBLE AS az2 FROM region),
+ sb AS (SELECT align_id, x0, y0, az, dir, x AS xm, y AS ym, az+radians(40*dir) AS azm, az+radians(64*dir) AS az2 FROM (SELECT *, {_spiral_at('39.999999999999')} FROM sa)),
+ sc AS (SELECT align_id, x0, y0, az, dir, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y2, az2, xm, ym FROM sb),
+ so AS (SELECT * FROM (SELECT *, {_spiral_at('40.0')} FROM sc)),
+ sp AS (SELECT align_id, x0, y0, az, dir, xm-x AS x2, ym-y AS y2, az2 FROM so),
+ pp AS (SELECT *, k*0.05::DOUBLE AS l FROM sp, range(1281) r(k)), pt2 AS (SELECT *, {_spiral_at('l')} FROM pp),
+ bx AS (SELECT *, lead(l) OVER w AS lb, lead(x) OVER w AS xb, lead(y) OVER w AS yb FROM pt2 WINDOW w AS (PARTITION BY align_id ORDER BY k)),
+ z0 AS (SELECT * FROM (SELECT bx.align_id, bx.k, za, ez, xa, ya, ex, ey, x0, y0, az, dir, x2, y2, az2, l AS a, (x-xa)*ey-(y-ya)*ex AS fa, lb AS b, (xb-xa)*ey-(yb-ya)*ex AS fb FROM bx, ed
+   WHERE lb IS NOT NULL AND abs(x-xa-ex/2) <= abs(ex)/2+1 AND abs(y-ya-ey/2) <= abs(ey)/2+1) WHERE fa*fb<=0),
+ {_refined(4)}, h AS (SELECT align_id, m AS station, ((x-xa)*ex+(y-ya)*ey)/(ex*ex+ey*ey) AS u, za, ez FROM (SELECT *, {_spiral_at('m')} FROM {_ZERO.format('z4')})),
+ b AS (SELECT align_id, floor(station*10000+1e-6) AS k, min(station) AS station, arg_min(za+u*ez, station) AS elevation FROM h WHERE u BETWEEN 0 AND 1 GROUP BY 1,2) SELECT align_id, {r6('station')} AS station, {r6('elevation')} AS elevation FROM b""")
+def _p16_spirals(spark, d):
+    p, tv = x.lattice(spark, d)
+    c = pr.cut(tv, p, spiral_route(spark, d), 8.0)
+    return c.select("align_id", R(F.col("station")).alias("station"), R(F.col("elevation")).alias("elevation"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from alidade.functions.angles import rounded as R
 from alidade.operators import surface as s
-from alidade.operators import stats, decimate, grids, hull
+from alidade.operators import stats, decimate, grids, hull, hull_nd
 from alidade.plans import fixtures as x
+from alidade.tables import written
 from alidade.plans.fixtures import ANG2, BAD, CLOUD, DIH, EDGES, GONE, HULL, LOC, LP, LT, QP, SIDES, SURF, TV, VE, r6
 
 Q: dict = {}
@@ -353,11 +354,54 @@ def _t03b(spark, d):
     return hull.delaunay(pts.select("point_id", "x", "y", "z"))
 
 
-@add("t05_hull2d_cloud", None)
+#: Hull points among ex(x, hi, lo), one row for each x: the least slope from the left against the greatest to the right.
+_CHAINS = """lefts AS (SELECT p.x, min((p.hi-q.hi)/(p.x-q.x)) AS ul, max((p.lo-q.lo)/(p.x-q.x)) AS ll FROM ex p JOIN ex q ON q.x < p.x GROUP BY p.x),
+rights AS (SELECT p.x, max((q.hi-p.hi)/(q.x-p.x)) AS ur, min((q.lo-p.lo)/(q.x-p.x)) AS lr FROM ex p JOIN ex q ON q.x > p.x GROUP BY p.x),
+chains AS (SELECT ex.*, ul IS NULL OR ur IS NULL AS is_end, coalesce(ul-ur, 1) AS up, coalesce(lr-ll, 1) AS down
+ FROM ex LEFT JOIN lefts USING (x) LEFT JOIN rights USING (x))"""
+
+
+@add("t05_hull2d_cloud", f"""WITH {CLOUD}, ex AS (SELECT x, max(y) AS hi, min(y) AS lo FROM cloud GROUP BY x), {_CHAINS}
+ SELECT min(seq) AS point_id FROM cloud JOIN chains USING (x) WHERE (y = hi AND up > 0) OR (y = lo AND down > 0) GROUP BY x, y""")
 def _t05b(spark, d):
     return hull.convex_hull(x.cloud(spark, d).select(F.col("seq").alias("point_id"), "x", "y")).select("point_id")
 
 
+@add("t03_delaunay_columns", f"""WITH pts AS (SELECT DISTINCT CAST(l_partkey AS DOUBLE) AS x, CAST(floor(l_extendedprice/50) AS DOUBLE) AS y FROM lineitem),
+ex AS (SELECT x, max(y) AS hi, min(y) AS lo FROM pts GROUP BY x), {_CHAINS},
+rim AS (SELECT sum(CASE WHEN is_end THEN c ELSE CAST(up >= 0 AS INT) + CAST(down >= 0 AND (hi > lo OR up < 0) AS INT) END) AS h
+ FROM chains JOIN (SELECT x, count(*) AS c FROM pts GROUP BY x) USING (x)),
+above AS (SELECT sum((x - px) * (hi + phi) / 2) AS a FROM (SELECT x, hi, lag(x) OVER (ORDER BY x) AS px, lag(hi) OVER (ORDER BY x) AS phi FROM chains WHERE is_end OR up >= 0)),
+below AS (SELECT sum((x - px) * (lo + plo) / 2) AS a FROM (SELECT x, lo, lag(x) OVER (ORDER BY x) AS px, lag(lo) OVER (ORDER BY x) AS plo FROM chains WHERE is_end OR down >= 0))
+SELECT n AS points, CAST(3*n-3-h AS BIGINT) AS edges, CAST(2*n-2-h AS BIGINT) AS faces, CAST(h AS BIGINT) AS outer_edges, round(above.a - below.a, 4) AS area, CAST(0 AS BIGINT) AS in_circle
+ FROM (SELECT count(*) AS n FROM pts), rim, above, below""")
+def _t03c(spark, d):
+    pts = x.table(spark, d, "lineitem").select(F.col("l_partkey").cast("double").alias("x"), F.floor(F.col("l_extendedprice") / 50).cast("double").alias("y")).distinct()
+    pts = written(pts.withColumn("point_id", F.monotonically_increasing_id()))
+    return hull.triangulation_checks(pts, hull.delaunay(pts))
+
+
+@add("t03_delaunay_cloud_checks", f"""WITH {CLOUD}, pts AS (SELECT DISTINCT x, y FROM cloud), ex AS (SELECT x, max(y) AS hi, min(y) AS lo FROM pts GROUP BY x), {_CHAINS},
+rim AS (SELECT sum(CASE WHEN is_end THEN CASE WHEN hi > lo THEN 2 ELSE 1 END ELSE CAST(up >= 0 AS INT) + CAST(down >= 0 AND (hi > lo OR up < 0) AS INT) END) AS h FROM chains),
+above AS (SELECT sum((x - px) * (hi + phi) / 2) AS a FROM (SELECT x, hi, lag(x) OVER (ORDER BY x) AS px, lag(hi) OVER (ORDER BY x) AS phi FROM chains WHERE is_end OR up >= 0)),
+below AS (SELECT sum((x - px) * (lo + plo) / 2) AS a FROM (SELECT x, lo, lag(x) OVER (ORDER BY x) AS px, lag(lo) OVER (ORDER BY x) AS plo FROM chains WHERE is_end OR down >= 0))
+SELECT n AS points, CAST(3*n-3-h AS BIGINT) AS edges, CAST(2*n-2-h AS BIGINT) AS faces, CAST(h AS BIGINT) AS outer_edges, round(above.a - below.a, 4) AS area, CAST(0 AS BIGINT) AS in_circle
+ FROM (SELECT count(*) AS n FROM pts), rim, above, below""")
+def _t03d(spark, d):
+    pts = x.cloud(spark, d).select(F.col("seq").alias("point_id"), "x", "y")
+    return hull.triangulation_checks(pts, hull.delaunay(pts, tile_points=100))
+
+
+@add("t04_hull3d_checks", f"WITH {CLOUD} SELECT count(*) AS points, CAST(2 AS BIGINT) AS euler, CAST(0 AS BIGINT) AS open_ridges, CAST(0 AS BIGINT) AS outside FROM cloud")
+def _t04(spark, d):
+    return hull_nd.hull_checks(x.cloud(spark, d).withColumnRenamed("seq", "point_id"), ["x", "y", "z"])
+
+
+@add("t04_hull3d_facets", None)
+def _t04b(spark, d):
+    return hull_nd.convex_hull_nd(x.cloud(spark, d).withColumnRenamed("seq", "point_id"), ["x", "y", "z"]).select("vertices")
+
+
 _DEC = f"{SURF}, {GONE}, {VE}, {HULL}, cnt AS (SELECT (SELECT count(*) FROM lp) AS n, (SELECT count(*) FROM hull) AS h)"
 
 

@@ -219,7 +219,7 @@ def test_cut_of_spirals_and_arcs_by_sampling(spark, sf_dir):
     elements = spark.createDataFrame(parts, "align_id long, seq int, degree_in double, length double, degree_out double")
     heads = spark.createDataFrame([(1, 9.3, 7.7, 0.0, 13.0)], "align_id long, x double, y double, station double, azimuth_deg double")
     seg = al.chain(elements, heads).cache()
-    got = sorted((r.station, r.elevation) for r in pr.cut(tv, points, seg, 8.0, 256).collect())
+    got = sorted((r.station, r.elevation) for r in pr.cut(tv, points, seg, 8.0).collect())
     fine = spark.range(4731).select(F.lit(1).cast("long").alias("align_id"), F.col("id").alias("sid"), (F.col("id") / 100).alias("sta"), F.lit(0.0).alias("offset"))
     xy = al.station_to_xy(fine, seg)
     q = xy.select(F.col("sid").alias("qid"), F.col("x").alias("px"), F.col("y").alias("py"))
@@ -256,3 +256,42 @@ def test_dxf_alignments(spark, tmp_path):
     assert [(r.align_id, r.kind) for r in got] == [(0, "line"), (1, "arc"), (1, "line")]
     assert abs(got[0].length - 5) < 1e-9 and abs(got[1].length - 5 * 3.141592653589793) < 1e-9 and abs(got[1].turn + 180) < 1e-9
     assert abs(got[1].cx) < 1e-9 and abs(got[1].cy - 5) < 1e-9 and abs(got[2].begin_sta - got[1].length) < 1e-9
+
+
+def test_walks_grow_with_length(spark):
+    """Lines in all directions pass the cells that brute force finds, and few more than their length in cells."""
+    import math
+
+    from alidade.operators import profile as pr
+
+    rows = [(k, 0.3, -1.7, 0.3 + 400 * math.cos(k), -1.7 + 400 * math.sin(k)) for k in range(12)] + [(20, 1.0, 1.0, 1.0, 301.0), (21, 8.0, 8.0, -296.0, 8.0), (22, 0.0, 0.0, 320.0, 320.0), (23, 5.0, 5.0, 5.0, 5.0)]
+    got = {}
+    for r in pr._walk(spark.createDataFrame(rows, "k int, wx0 double, wy0 double, wx1 double, wy1 double"), 8.0).collect():
+        got.setdefault(r.k, []).append((r.gx, r.gy))
+    for k, x0, y0, x1, y1 in rows:
+        want = {(math.floor((x0 + t / 4000 * (x1 - x0)) / 8), math.floor((y0 + t / 4000 * (y1 - y0)) / 8)) for t in range(4001)}
+        assert want <= set(got[k]) and len(got[k]) == len(set(got[k])) <= 3 * 400 / 8 + 4
+
+
+def test_crossings_of_a_spiral_with_a_line_by_sampling(spark):
+    """A spiral of more than half a turn crosses a long edge several times, each found once and to the last digits."""
+    from alidade.operators import alignment as al
+    from alidade.operators import profile as pr
+
+    for deg_in, deg_out in ((0.0, 500.0), (-500.0, 0.0)):
+        e = spark.createDataFrame([(1, 0, deg_in, 60.0, deg_out)], "align_id long, seq int, degree_in double, length double, degree_out double")
+        h = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 20.0)], "align_id long, x double, y double, station double, azimuth_deg double")
+        seg = al.chain(e, h)
+        xy = al.station_to_xy(spark.range(60001).selectExpr("1L as align_id", "id as sid", "100 + id / 1000 as sta", "0D as offset"), seg).orderBy("sid").select("x", "y").collect()
+        want, rows = [], []
+        for a, b in ((10, 35), (20, 55), (5, 58), (30, 33)):  # edges through two places on it, and on
+            p, q = xy[a * 1000 + 1], xy[b * 1000 + 1]
+            ex, ey = q.x - p.x, q.y - p.y
+            rows.append((p.x - 0.1 * ex, p.y - 0.1 * ey, 0.0, q.x + 0.1 * ex, q.y + 0.1 * ey, 1.0))
+            side = [(r.x - p.x) * ey - (r.y - p.y) * ex for r in xy]
+            on = [-0.1 < ((r.x - p.x) * ex + (r.y - p.y) * ey) / (ex * ex + ey * ey) < 1.1 for r in xy]
+            want += [100 + (k + c / (c - d)) / 1000 for k, (c, d) in enumerate(zip(side, side[1:])) if on[k] and (c < 0) != (d < 0)]
+        edges = spark.createDataFrame(rows, "xa double, ya double, za double, xb double, yb double, zb double")
+        walked = pr._walk(edges.selectExpr("*", "xa wx0", "ya wy0", "xb wx1", "yb wy1"), 5.0)
+        got = sorted({round(r.station, 8) for r in pr._crossings("spiral", seg, walked, 5.0).collect()})
+        assert len(want) == 8 and got == pytest.approx(sorted(want), abs=1e-6)
