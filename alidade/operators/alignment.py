@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from alidade.functions import vectors as v
 from alidade.functions.angles import azimuth, deflection, pmod, radius, root_by_false_position
+from alidade.operators import pyramid
 from alidade.operators.ranges import lookup
+from alidade.tables import written
 
 KIND_TOLERANCE = 5e-5
 
@@ -224,6 +226,15 @@ class FlatEnd:
     def point(cls, l: Column) -> tuple[Column, Column]:
         return F.col("flat_x") + cls.along(l, F.col("on_x"), F.col("right_x")), F.col("flat_y") + cls.along(l, F.col("on_y"), F.col("right_y"))
 
+    @staticmethod
+    def aside(l: Column, onward: Column, right: Column) -> tuple[Column, Column]:
+        """How far a place, given by its distances along the flat tangent and beside it, lies along the course at l (seen from
+        the flat end), and how far to the right of it."""
+        way = F.col("spiral_from") + F.col("spiral_way") * l
+        th = F.col("spiral_bend") * way * way
+        x, y = spiral_xy(way, th)
+        return (onward - x) * F.cos(th) + (right - y) * F.sin(th), (right - y) * F.cos(th) - (onward - x) * F.sin(th)
+
     @staticmethod
     def parallel(dx: Column, dy: Column) -> Column:
         """l at which the spiral runs along the direction (dx, dy), one way or the other; NULL if nowhere.
@@ -238,17 +249,60 @@ class FlatEnd:
         return F.when(back <= F.col("length"), (back - F.col("spiral_from")) * way)
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Angle between two azimuths, 0 to 180."""
+    return 180 - F.abs(pmod(a - b, 360.0) - 180)
+
+
+def _courses(segments: DataFrame) -> list[DataFrame]:
+    """Pyramid over segments (align_id, place): boxes and, around a middle azimuth, the azimuths that occur in them."""
+    box = arc_box()
+    bulge = F.when(F.col("kind") == "spiral", F.col("length") * F.radians(F.abs("turn")) / 4).otherwise(F.lit(0.0))  # length^2 * curvature / 8
+    leaves = segments.select(
+        "align_id", "place", (box["xmin"] - bulge).alias("bx0"), (box["xmax"] + bulge).alias("bx1"), (box["ymin"] - bulge).alias("by0"), (box["ymax"] + bulge).alias("by1"),
+        pmod(F.col("az0") + F.col("turn") / 2, 360.0).alias("mid"), (F.abs("turn") / 2).alias("swing"),
+    )
+
+    def combine(nodes: DataFrame, keys: list[str]) -> DataFrame:
+        parts = F.collect_list(F.struct("mid", "swing")).alias("parts")  # FAN of them
+        sums = [F.sum(F.sin(F.radians("mid"))).alias("sx"), F.sum(F.cos(F.radians("mid"))).alias("sy")]
+        g = nodes.groupBy(*keys).agg(F.min("bx0").alias("bx0"), F.max("bx1").alias("bx1"), F.min("by0").alias("by0"), F.max("by1").alias("by1"), *sums, parts)
+        g = g.withColumn("mid", pmod(F.degrees(F.atan2("sx", "sy")), 360.0))
+        swing = F.array_max(F.transform("parts", lambda p: _apart(p["mid"], F.col("mid")) + p["swing"]))
+        return g.select(*keys, "bx0", "bx1", "by0", "by1", "mid", swing.alias("swing"))
+
+    return pyramid.levels(leaves, ["align_id"], combine)
+
+
+def _projecting(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """points (align_id, px, py, ...) beside the segments that they may project on.
+
+    A point projects where the way to it is square to the course. Over a run of segments the part of that way along the
+    course has both signs, or the run goes: of a box's middle, give or take its radius, in the directions that occur.
+    """
+    segments = written(pyramid.placed(segments.where("x0 is not null"), ["align_id"], "seq"), "segments")
+    vx, vy = F.col("px") - (F.col("bx0") + F.col("bx1")) / 2, F.col("py") - (F.col("by0") + F.col("by1")) / 2
+    far, radius_ = v.base_length(vx, vy), v.base_length(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")) / 2
+    angle = _apart(F.degrees(F.atan2(vx, vy)), F.col("mid"))
+    hair = 1e-6 + 1e-9 * far
+    ahead = far * F.cos(F.radians(F.greatest(F.lit(0.0), angle - F.col("swing")))) + radius_ >= -hair
+    behind = far * F.cos(F.radians(F.least(F.lit(180.0), angle + F.col("swing")))) - radius_ <= hair
+    hit = pyramid.descend(points, _courses(segments), ["align_id"], ahead & behind)
+    return hit.join(segments, ["align_id", "place"]).drop("place")
+
+
 def spiral_to_station(points: DataFrame, segments: DataFrame) -> DataFrame:
     """points (align_id, pid, px, py) with the spirals that they project on: seq, sta, off (right positive).
 
-    The foot is where the way to the point is square to the spiral, found by false position along the spiral.
+    Candidates come from a pyramid over the spirals. The foot is where the way to the point is square to the spiral, found
+    by false position along it.
     """
-    p = points.join(segments.where("kind = 'spiral' and x0 is not null"), "align_id")
+    p = _projecting(points.select("align_id", "pid", "px", "py"), segments.where("kind = 'spiral'")).withColumns(FlatEnd.columns())
+    dx, dy = F.col("px") - F.col("flat_x"), F.col("py") - F.col("flat_y")
+    p = p.withColumns({"onward": dx * F.col("on_x") + dy * F.col("on_y"), "right": dx * F.col("right_x") + dy * F.col("right_y")})
 
     def off(l: Column) -> tuple[Column, Column]:
-        x, y, az = _at(l, F.lit(0.0))
-        dx, dy, a = F.col("px") - x, F.col("py") - y, F.radians(az)
-        return dx * F.sin(a) + dy * F.cos(a), dx * F.cos(a) - dy * F.sin(a)
+        return FlatEnd.aside(l, F.col("onward"), F.col("right"))
 
     hair = 1e-6  # so that the feet at both ends are found whatever the rounding
     foot = root_by_false_position(lambda l: off(l)[0], F.lit(-hair), F.col("length") + hair, F.lit(0.0))
@@ -315,10 +369,10 @@ def stations_at(segments: DataFrame, step: float) -> DataFrame:
 def xy_to_station(points: DataFrame, segments: DataFrame) -> DataFrame:
     """points (align_id, pid, px, py) with every segment that they project on: seq, sta, off, place by |off|.
 
-    An equi-join on the alignment. Spirals are left out, as in the chain of lines and arcs that
-    station listing works on; spiral_to_station projects on those.
+    Candidates come from a pyramid over the alignment's segments, so that their number follows that of the feet. Spirals
+    are left out, as in the chain of lines and arcs that station listing works on; spiral_to_station projects on those.
     """
-    p = points.join(segments, "align_id")
+    p = _projecting(points, segments.where("kind != 'spiral'"))
     dx, dy = F.col("px") - F.col("x0"), F.col("py") - F.col("y0")
     a = F.radians(F.col("az0"))
     l_line, o_line = dx * F.sin(a) + dy * F.cos(a), dx * F.cos(a) - dy * F.sin(a)

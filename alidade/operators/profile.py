@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alidade.functions.angles import azimuth, nullable_sum, pmod, root_by_false_position
 from alidade.operators import alignment as al
+from alidade.operators import pyramid
 from alidade.operators import surface as s
 from alidade.operators.ranges import lookup
 from alidade.tables import written
@@ -156,8 +157,24 @@ def with_segments(vcurves: DataFrame, more: DataFrame) -> DataFrame:
 
 def ray_hits(rays: DataFrame, vcurves: DataFrame) -> DataFrame:
     """(profile_id, ray_id, sta, el, place): where rays (profile_id, ray_id, s0, e0, m, advance +-1) meet the profile,
-    nearest first."""
-    r = rays.join(vcurves.where("not is_gap"), "profile_id")
+    nearest first.
+
+    Curves come from a pyramid of least and greatest elevations over runs of them: a ray that passes above or below a run,
+    or starts beyond it, goes no deeper.
+    """
+    c = written(pyramid.placed(vcurves.where("not is_gap"), ["profile_id"], "begin_sta"), "curves")
+    end = elevation_at(F.col("end_sta"))
+    turn = F.try_divide(-F.col("g1"), rate())  # where a parabola is level
+    level = F.when((turn > 0) & (turn < F.col("end_sta") - F.col("begin_sta")), F.col("begin_el") + F.col("g1") * turn / 2)
+    leaves = c.select("profile_id", "place", F.col("begin_sta").alias("ns0"), F.col("end_sta").alias("ns1"), F.least("begin_el", end, level).alias("nlow"), F.greatest("begin_el", end, level).alias("nhigh"))
+    combine = lambda nodes, keys: nodes.groupBy(*keys).agg(F.min("ns0").alias("ns0"), F.max("ns1").alias("ns1"), F.min("nlow").alias("nlow"), F.max("nhigh").alias("nhigh"))
+    # the ray's part over the run, on its own side
+    back, on = F.when(F.col("advance") > 0, F.greatest("ns0", "s0")).otherwise(F.col("ns0")), F.when(F.col("advance") > 0, F.col("ns1")).otherwise(F.least("ns1", "s0"))
+    e_back, e_on = (F.col("e0") + F.col("m") * (s - F.col("s0")) for s in (back, on))
+    hair = 1e-9 * (1 + F.abs(e_back) + F.abs(e_on))
+    test = (back <= on) & (F.least(e_back, e_on) - hair <= F.col("nhigh")) & (F.greatest(e_back, e_on) + hair >= F.col("nlow"))
+    hit = pyramid.descend(rays, pyramid.levels(leaves, ["profile_id"], combine), ["profile_id"], test)
+    r = hit.join(c, ["profile_id", "place"]).drop("place")
     # in d from the curve's begin: rate/2 d^2 + (g1 - m) d + (begin_el - ray elevation there) = 0
     a, b = rate() / 2, F.col("g1") - F.col("m")
     c = F.col("begin_el") - (F.col("e0") + F.col("m") * (F.col("begin_sta") - F.col("s0")))

@@ -1,4 +1,4 @@
-"""Interval look-ups as equi-joins on bins of the axis, with the interval test behind them."""
+"""Interval look-ups as equi-joins on cells of the axis, each interval on the level of its own length."""
 
 from __future__ import annotations
 
@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bin_width(intervals: DataFrame, lo: str, hi: str) -> float:
-    """Mean interval length, so that an interval covers about two bins."""
-    m = intervals.agg(F.avg(F.col(hi) - F.col(lo)).alias("m")).first()["m"]
-    return float(m) if m else 1.0
+def _level(length: Column) -> Column:
+    """The least power of two that is no shorter; an interval touches two cells of that width at most."""
+    return F.ceil(F.log2(F.greatest(length, F.lit(2.0**-20)))).cast("int")
 
 
-def lookup(probes: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str, by: list[str], keep: Column, width: float | None = None) -> DataFrame:
-    """Rows of probes joined to the intervals of the same `by` whose bin they fall in and for which `keep` holds.
+def lookup(probes: DataFrame, at: str, intervals: DataFrame, lo: str, hi: str, by: list[str], keep: Column) -> DataFrame:
+    """Rows of probes joined to the intervals of the same `by` that `keep` holds for, which must lie within [lo, hi].
 
-    Intervals are repeated once per bin they touch; both sides are dealt by (by, bin), so a long axis is spread over
-    tasks and nothing is broadcast unless Spark sees that it is small.
+    A probe looks once at each level that its group has, so that one long interval among short ones takes two rows and
+    makes no crowded cell. Both sides are dealt by (by, level, cell); nothing is counted first.
     """
-    w = width or bin_width(intervals, lo, hi)
-    bins = F.sequence(F.floor(F.col(lo) / w), F.floor(F.col(hi) / w))
-    i = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__bin", F.explode(bins))
-    return probes.withColumn("__bin", F.floor(F.col(at) / w)).join(i, [*by, "__bin"]).where(keep).drop("__bin")
+    i = intervals.where(F.col(hi) >= F.col(lo)).withColumn("__level", _level(F.col(hi) - F.col(lo)))
+    depths = i.groupBy(*by).agg(F.collect_set("__level").alias("__levels"))  # as many as lengths have powers of two
+    width = F.pow(F.lit(2.0), F.col("__level"))
+    i = i.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
+    p = probes.join(depths, by).withColumn("__level", F.explode("__levels")).drop("__levels")
+    return p.withColumn("__cell", F.floor(F.col(at) / width)).join(i, [*by, "__level", "__cell"]).where(keep).drop("__level", "__cell")

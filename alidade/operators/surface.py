@@ -244,13 +244,12 @@ def point_results(queries: DataFrame, tv: DataFrame, size: float | None = None)
     corners = [f"{a}{k}" for k in (1, 2, 3) for a in "xy"]
     t = tv.select("tri_id", *corners, "z1", "nx", "ny", "nz", slope_pct().alias("slope_pct"), aspect().alias("aspect"), compass_aspect().alias("compass_aspect"), F.explode(cx).alias("tx"), cy.alias("ty"))
     t = t.withColumn("ty", F.explode("ty"))
-    q = queries.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
+    # a probe asked for several times comes back as often: each carries its own number
+    q = queries.withColumns({"__probe": F.monotonically_increasing_id(), "cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
     hit = q.join(t, (q["cx"] == t["tx"]) & (q["cy"] == t["ty"]) & v.inside_triangle(F.col("px"), F.col("py")), "left")
     row = F.struct("tri_id", elevation(F.col("px"), F.col("py")).alias("elevation"), "slope_pct", "aspect", "compass_aspect")
-    best = hit.groupBy("qid", "px", "py").agg(F.min(F.when(F.col("tri_id").isNotNull(), row)).alias("r"), F.count("*").alias("n"), F.size(F.collect_set("tri_id")).alias("k"))
-    # a probe asked for several times meets each of its triangles as often, and comes back as often
-    times = F.floor(F.col("n") / F.greatest("k", F.lit(1))).cast("int")
-    return best.select("qid", "px", "py", "r.*", F.explode(F.array_repeat(F.lit(0), times)).alias("__time")).drop("__time")
+    best = hit.groupBy("__probe", "qid", "px", "py").agg(F.min(F.when(F.col("tri_id").isNotNull(), row)).alias("r"))
+    return best.select("qid", "px", "py", "r.*")
 
 
 def point_measures(tv: DataFrame, hull: DataFrame) -> DataFrame:
