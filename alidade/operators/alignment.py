@@ -88,11 +88,13 @@ def chain(elements: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def lines_from_points(points: DataFrame) -> DataFrame:
-    """Elements and heads of polylines (align_id, seq, x, y): each point to the next; (segments in the shape of chain)."""
+    """Segments, in the shape of chain, of polylines (align_id, seq, x, y): each point to the next. Stations run from the
+    points' begin_sta, if there is such a column, else from 0."""
     w = Window.partitionBy("align_id").orderBy("seq")
     p = points.withColumns({"x1": F.lead("x").over(w), "y1": F.lead("y").over(w)}).where("x1 is not null")
     p = p.withColumns({"length": v.base_length(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")), "az0": azimuth(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))})
-    begin = F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    start = F.first("begin_sta").over(w) if "begin_sta" in points.columns else F.lit(0.0)
+    begin = start + F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     p = p.withColumn("begin_sta", begin)
     last = F.row_number().over(Window.partitionBy("align_id").orderBy(F.col("seq").desc())) == 1
     none = F.lit(None).cast("double")
@@ -410,6 +412,26 @@ def to_region_station(true_stations: DataFrame, regions: DataFrame) -> DataFrame
     )
 
 
+def region_stations(rows: DataFrame, segments: DataFrame, regions: DataFrame) -> DataFrame:
+    """rows (align_id, station, ...) with region, sta and extended by the table of regions; stations run along the alignment
+    from its begin, whatever it is called there. Alignments without regions keep their stations and have NULL regions."""
+    begins = segments.groupBy("align_id").agg(F.min("begin_sta").alias("__begin"))
+    keyed = rows.join(begins, "align_id").withColumn("__true", F.col("station") - F.col("__begin"))
+    asked = keyed.select("align_id", F.col("__true").alias("sid"), F.col("__true").alias("true_sta")).distinct()
+    found = to_region_station(asked, regions).select("align_id", F.col("sid").alias("__true"), "region", "sta", "extended")
+    out = keyed.join(found, ["align_id", "__true"], "left").withColumn("sta", F.coalesce("sta", "station"))
+    return out.drop("__true", "__begin")
+
+
+def end_checks(segments: DataFrame, ends: DataFrame) -> DataFrame:
+    """(align_id, miss, azimuth_miss, station_miss): how far the chain's end is from where ends (align_id, x, y, station,
+    azimuth_deg) say; the azimuth's in degrees, signed; NULL where nothing is said or there is no chain."""
+    last = segments.where("is_last").select("align_id", "x1", "y1", "az1", "end_sta")
+    miss = v.base_length(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))
+    turn = pmod(F.col("az1") - F.col("azimuth_deg") + 180.0, 360.0) - 180.0
+    return ends.join(last, "align_id", "left").select("align_id", miss.alias("miss"), turn.alias("azimuth_miss"), (F.col("end_sta") - F.col("station")).alias("station_miss"))
+
+
 def station_text(sta: Column, region: Column | None = None, extended: Column | None = None) -> Column:
     """12+34.56, with ' R 2' for a region and ' [ext.]' off the ends."""
     cents = F.floor(F.abs(sta) * 100 + 0.5).cast("long")

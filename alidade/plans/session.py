@@ -102,6 +102,7 @@ class Session:
     surface: Surface | None = None
     derived: Surface | None = None
     segments: DataFrame | None = None
+    regions: DataFrame | None = None
     stats_path: str | None = None
     grid_spacing: float | None = None
     zero: bool = False
@@ -318,11 +319,18 @@ class Session:
         sinks.write_text(rows, self._out(name), ["row"], sinks.asc_head(head))
 
     def do_load_alignment(self, name: str):
+        """Segments of one file, and its regions, by which stations are then numbered. Says how far the end is off, if it is."""
         self.segments = written(al.chain(*texts.read_alignment_csv(self.spark, self._in(name), Path(name).stem)))
+        regions, ends = texts.read_alignment_regions(self.spark, self._in(name), Path(name).stem)
+        self.regions = regions if regions.count() else None
+        off = al.end_checks(self.segments, ends).where("miss > 0.01 or abs(azimuth_miss) > 0.001 or abs(station_miss) > 0.01").first()
+        if off:
+            return f"the end is {off['miss']:.3f} off, its azimuth {off['azimuth_miss']:.4f}"
 
     def do_load_alignments(self, name: str, *flags):
+        """Alignments of a feature file; their stations run from what CLDIST says."""
         pts, _ = texts.read_esri_json(self.spark, self._in(name))
-        self.segments = written(al.lines_from_points(pts))
+        self.segments, self.regions = written(al.lines_from_points(pts)), None
         if "-list" in flags:
             return "\n".join(r["align_id"] for r in self.segments.select("align_id").distinct().orderBy("align_id").collect())
 
@@ -338,6 +346,9 @@ class Session:
         else:
             rows = profile.cut(f.tv, f.points, self.segments, s.cell_size(f.tv))
         sta = F.format_string("%.3f", "station") if "-truestation" in flags else al.station_text(F.col("station"))
+        if self.regions is not None and "-truestation" not in flags:
+            rows = al.region_stations(rows, self.segments, self.regions)
+            sta = al.station_text(F.col("sta"), F.col("region"), F.col("extended"))
         out = rows.select("align_id", "station", F.concat_ws(",", sta, F.format_string("%.3f", "elevation")).alias("value"))
         sinks.write_text(out, self._out(name), ["align_id", "station"])
 

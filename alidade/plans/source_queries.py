@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from alidade.operators import alignment as al
 from alidade.operators.alignment import station_text
 from alidade.plans import fixtures as x
 from alidade.plans.fixtures import CLOUD, LOC, LP, LT, QP, SURF
@@ -89,9 +90,13 @@ def _s04(spark, d):
     return rasters.read_cells(spark, _asc_file(spark, d))
 
 
-@add("s06_raster_header", "SELECT 101.0::DOUBLE AS xmin, 201.0::DOUBLE AS ymin, 131.0::DOUBLE AS xmax, 231.0::DOUBLE AS ymax, 2.0::DOUBLE AS cellsize")
+@add("s06_raster_header", f"WITH {LP}, s AS (SELECT 100.0 + max(z) AS x0, 200.0 + min(z) AS y0, (1 + max(z) - min(z))::DOUBLE AS c FROM lp) SELECT (x0 + c/2)::DOUBLE AS xmin, (y0 + c/2)::DOUBLE AS ymin, (x0 + 15*c + c/2)::DOUBLE AS xmax, (y0 + 15*c + c/2)::DOUBLE AS ymax, c AS cellsize FROM s")
 def _s06(spark, d):
-    head = rasters.read_header(spark, _asc_file(spark, d))
+    """The corner and the cell size are taken from the elevations."""
+    low, high = x.lattice_points(spark, d).agg(F.min("z"), F.max("z")).first()
+    path = f"{folder(spark)}/lattice.asc"
+    sinks.write_text(sinks.asc_rows(_cells(spark, d)), path, ["row"], sinks.asc_head({**_HEAD, "xll": 100.0 + high, "yll": 200.0 + low, "cellsize": 1.0 + high - low}))
+    head = rasters.read_header(spark, path)
     return spark.createDataFrame([(*rasters.header_box(head), head["cellsize"])], "xmin double, ymin double, xmax double, ymax double, cellsize double")
 
 
@@ -168,12 +173,69 @@ def _s13f(spark, d):
     return texts.read_vrml(spark, _wrl_file(spark, d))[1].select("p1", "p2", "p3")
 
 
+def _alignment_file(spark: SparkSession, d: str) -> str:
+    """Each nation is a tangent and a region; the alignment runs north-east from (100, 200) and station 1000."""
+    path = f"{folder(spark)}/nations.csv"
+    n = x.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    total = n.agg(F.sum(F.col("k") + 10).alias("t"))
+    text = lambda section, place, value: F.struct(F.lit(section).alias("section"), place.cast("long").alias("place"), value.alias("value"))
+    row = lambda *cells: F.concat_ws(",", *[c if isinstance(c, Column) else F.lit(c) for c in cells])
+    titles = [(0, "StartHA:,,,,"), (1, "Northing,Easting,Station,Region,Azimuth"), (2, "100,200,1000,1,45"), (3, ",,,,"), (4, "Elements:,,,,"), (5, "DegreeIn,Length,DegreeOut,TypeTag,"), (7, ",,,,"), (8, "Regions:,,,,"), (9, "StartStation,RegionNo,EndStation,,"), (11, ",,,,"), (12, "EndHA:,,,,"), (13, "Northing,Easting,Station,Region,Azimuth")]
+    fixed = spark.createDataFrame([(a, 0, t) for a, t in titles], "section int, place long, value string")
+    own = n.select(F.explode(F.array(text(6, F.col("k"), row("0", (F.col("k") + 10).cast("string"), "0", "", "")), text(10, F.col("k"), row((F.col("k") * 1000).cast("string"), (F.col("k") + 1).cast("string"), (F.col("k") * 1001 + 10).cast("string"), "", "")))).alias("r")).select("r.*")
+    way = F.col("t") / F.sqrt(F.lit(2.0))
+    end = total.select(text(14, F.lit(0), row((way + 100).cast("string"), (way + 200).cast("string"), "", "25", "45")).alias("r")).select("r.*")
+    sinks.write_text(fixed.unionByName(own).unionByName(end), path, ["section", "place"])
+    return path
+
+
+@add("s16_alignment_regions", """SELECT CAST(n_nationkey + 1 AS INT) AS region, n_nationkey * 1000.0::DOUBLE AS begin_sta, n_nationkey * 1001.0::DOUBLE + 10 AS end_sta,
+ CAST(coalesce(sum(n_nationkey + 10) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS true_begin FROM nation""")
+def _s16(spark, d):
+    regions, _ = texts.read_alignment_regions(spark, _alignment_file(spark, d))
+    return al.with_true_stations(regions).select("region", "begin_sta", "end_sta", "true_begin")
+
+
+@add("s16_alignment_end", "SELECT CAST(count(*) AS BIGINT) AS segments, 0.0::DOUBLE AS miss, 0.0::DOUBLE AS azimuth_miss, 1000.0::DOUBLE + sum(n_nationkey + 10) AS end_sta FROM nation")
+def _s16e(spark, d):
+    """The chain of the elements ends where the file says."""
+    path = _alignment_file(spark, d)
+    seg = al.chain(*texts.read_alignment_csv(spark, path))
+    off = al.end_checks(seg, texts.read_alignment_regions(spark, path)[1])
+    per = seg.groupBy("align_id").agg(F.count("*").alias("segments"), F.max("end_sta").alias("end_sta"))
+    return per.join(off, "align_id").select("segments", F.round("miss", 6).alias("miss"), F.round("azimuth_miss", 6).alias("azimuth_miss"), "end_sta")
+
+
+@add("s16_region_stations", """SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey + 1 AS INT) AS region, n_nationkey * 1000.0::DOUBLE + 2.5 AS sta, 0.0::DOUBLE AS extended FROM nation""")
+def _s16s(spark, d):
+    """2.5 behind the begin of each tangent, as the region's own station."""
+    path = _alignment_file(spark, d)
+    seg = al.chain(*texts.read_alignment_csv(spark, path))
+    rows = seg.select("align_id", F.col("seq").cast("long").alias("k"), (F.col("begin_sta") + 2.5).alias("station"))
+    return al.region_stations(rows, seg, texts.read_alignment_regions(spark, path)[0]).select("k", "region", "sta", "extended")
+
+
+@add("s17_alignments", """SELECT align_id, seq, round(first_sta + coalesce(sum(length) OVER (PARTITION BY align_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS begin_sta,
+ round(length, 6) AS length
+ FROM (SELECT 'route ' || c_nationkey AS align_id, CAST(c_nationkey AS DOUBLE) AS first_sta, CAST(row_number() OVER w - 1 AS BIGINT) AS seq,
+ sqrt((lead(c_custkey) OVER w - c_custkey)::DOUBLE**2 + (lead(c_custkey % 97) OVER w - c_custkey % 97)::DOUBLE**2) AS length
+ FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)) WHERE length IS NOT NULL""")
+def _s17a(spark, d):
+    """Segments of the features' paths, whose stations begin at minus CLDIST."""
+    seg = al.lines_from_points(texts.read_esri_json(spark, _esri_file(spark, d))[0])
+    return seg.select("align_id", "seq", F.round("begin_sta", 6).alias("begin_sta"), F.round("length", 6).alias("length"))
+
+
 @add(
     "s17_esri_json",
     """SELECT 'route ' || c_nationkey AS align_id, CAST(c_nationkey AS DOUBLE) AS begin_sta,
 CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS seq, CAST(c_custkey AS DOUBLE) AS x, CAST(c_custkey % 97 AS DOUBLE) AS y FROM customer""",
 )
 def _s17(spark, d):
+    return texts.read_esri_json(spark, _esri_file(spark, d))[0].select("align_id", "begin_sta", "seq", "x", "y")
+
+
+def _esri_file(spark: SparkSession, d: str) -> str:
     """Each nation's customers are a feature of one path."""
     path = f"{folder(spark)}/routes.json"
     xy = F.array(F.col("c_custkey").cast("double"), (F.col("c_custkey") % 97).cast("double"))
@@ -184,7 +246,7 @@ def _s17(spark, d):
     rows = per.select("c_nationkey", F.concat(F.when(F.lag("c_nationkey").over(Window.orderBy("c_nationkey")).isNull(), F.lit("")).otherwise(F.lit(",")), feature).alias("value"))
     head = '{"geometryType": "esriGeometryPolyline", "spatialReference": {"latestWkid": 2264}, "fields": [{"name": "NAME"}], "features": ['
     sinks.write_text(rows, path, ["c_nationkey"], [head], ["]}"])
-    return texts.read_esri_json(spark, path)[0].select("align_id", "begin_sta", "seq", "x", "y")
+    return path
 
 
 @add("s21_profile_csv", "SELECT CAST(1 AS BIGINT) AS profile_id, c_custkey * 50.0::DOUBLE AS station, CAST(c_custkey % 31 AS DOUBLE) AS elevation, CASE WHEN c_custkey % 2 = 0 THEN 20.0::DOUBLE ELSE 0.0::DOUBLE END AS vc_length FROM customer")

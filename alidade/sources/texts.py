@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import shlex
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,7 +125,7 @@ def read_dxf_alignments(spark: SparkSession, path: str) -> DataFrame:
 def read_esri_json(spark: SparkSession, path: str, name_field: str = "Name") -> tuple[DataFrame, int]:
     """((align_id, begin_sta, path_idx, seq, x, y), wkid): one alignment per feature, its paths joined in order.
 
-    The name is looked up in any letter case and made up if absent; CLDIST, where given, is minus the begin station.
+    The name is looked up in any letter case, and is the feature's place if absent; CLDIST, where given, is minus the begin station.
     """
     schema = "geometryType string, spatialReference struct<latestWkid:int>, fields array<struct<name:string>>, features array<struct<attributes:map<string,string>,geometry:struct<paths:array<array<array<double>>>>>>"
     doc = spark.read.schema(schema).option("multiLine", True).json(path)
@@ -136,43 +135,69 @@ def read_esri_json(spark: SparkSession, path: str, name_field: str = "Name") ->
     f = doc.select(F.posexplode("features").alias("k", "f"))
     attr = F.map_from_entries(F.transform(F.map_entries("f.attributes"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
     f = f.withColumn("attr", attr)
-    name = F.coalesce(F.try_element_at("attr", F.lit(name_field.lower())), F.concat(F.lit(f"unnamed-{uuid.uuid4().hex[:8]}-"), F.col("k")))
+    name = F.coalesce(F.try_element_at("attr", F.lit(name_field.lower())), F.concat(F.lit("unnamed-"), F.col("k")))
     begin = F.coalesce(-F.try_element_at("attr", F.lit("cldist")).try_cast("double"), F.lit(0.0))
     p = f.select(name.alias("align_id"), begin.alias("begin_sta"), F.posexplode("f.geometry.paths").alias("path_idx", "path"))
     p = p.select("align_id", "begin_sta", "path_idx", F.posexplode("path").alias("i", "xy"))
     return p.select("align_id", "begin_sta", "path_idx", (F.col("path_idx").cast("long") * 2**32 + F.col("i")).alias("seq"), F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y")), head["latestWkid"]
 
 
-def parse_alignment_csv(text: str) -> tuple[list[tuple], list[tuple]]:
-    """(heads, elements): StartHA gives x, y, station, region, azimuth; Elements give degree in, length, degree out."""
-    section, heads, elements = "", [], []
+#: Sections of the alignment file and what their cells are: numbers, whole numbers, or numbers that may be left out.
+SECTIONS = {
+    "StartHA": (float, float, float, int, float),  # x, y, station, region, azimuth
+    "Elements": (float, float, float),  # degree in, length, degree out
+    "Regions": (float, int, float),  # begin station, region, end station
+    "EndHA": (float, float, None, int, float),  # as StartHA; the station may be empty
+}
+
+
+def alignment_sections(text: str) -> dict[str, list[tuple]]:
+    """Rows of each section. A line 'Name:' opens a section; lines that are not its numbers (titles, blanks) are skipped,
+    but a blank line behind rows ends it."""
+    found: dict[str, list[tuple]] = {name: [] for name in SECTIONS}
+    section = None
     for line in text.splitlines():
         cells = [c.strip() for c in line.split(",")]
         if cells[0].endswith(":"):
-            section = cells[0].rstrip(":")
-            continue
-        try:
-            if section == "StartHA":
-                heads.append((float(cells[0]), float(cells[1]), float(cells[2]), int(cells[3]), float(cells[4])))
-            elif section == "Elements":
-                if not cells[0]:
-                    section = ""
-                    continue
-                elements.append((float(cells[0]), float(cells[1]), float(cells[2])))
-        except (ValueError, IndexError):
-            continue  # column titles
-    return heads, elements
+            section = cells[0].rstrip(":") if cells[0].rstrip(":") in SECTIONS else None
+        elif section and not cells[0]:
+            section = None if found[section] else section
+        elif section:
+            try:
+                kinds = SECTIONS[section]
+                found[section].append(tuple((float(c) if c else None) if kind is None else kind(c) for kind, c in zip(kinds, cells[: len(kinds)], strict=True)))
+            except ValueError:
+                continue
+    return found
+
+
+def parse_alignment_csv(text: str) -> tuple[list[tuple], list[tuple]]:
+    """(heads, elements): StartHA gives x, y, station, region, azimuth; Elements give degree in, length, degree out."""
+    found = alignment_sections(text)
+    return found["StartHA"], found["Elements"]
+
+
+def _sections(spark: SparkSession, path: str) -> dict[str, list[tuple]]:
+    return alignment_sections(spark.read.text(path, wholetext=True).first()["value"])
 
 
 def read_alignment_csv(spark: SparkSession, path: str, align_id: str = "alignment") -> tuple[DataFrame, DataFrame]:
     """(elements, heads) in the shape that the chain operator takes; an alignment is a small file."""
-    text = spark.read.text(path, wholetext=True).first()["value"]
-    heads, elements = parse_alignment_csv(text)
-    e = spark.createDataFrame([(align_id, k, *row) for k, row in enumerate(elements)], "align_id string, seq int, degree_in double, length double, degree_out double")
-    h = spark.createDataFrame([(align_id, x, y, s, a, r) for x, y, s, r, a in heads[:1]], "align_id string, x double, y double, station double, azimuth_deg double, region int")
+    found = _sections(spark, path)
+    e = spark.createDataFrame([(align_id, k, *row) for k, row in enumerate(found["Elements"])], "align_id string, seq int, degree_in double, length double, degree_out double")
+    h = spark.createDataFrame([(align_id, x, y, s, a, r) for x, y, s, r, a in found["StartHA"][:1]], "align_id string, x double, y double, station double, azimuth_deg double, region int")
     return e, h
 
 
+def read_alignment_regions(spark: SparkSession, path: str, align_id: str = "alignment") -> tuple[DataFrame, DataFrame]:
+    """(regions, ends) of the same file: (align_id, region, begin_sta, end_sta), by which stations are numbered, and
+    (align_id, x, y, station, region, azimuth_deg), where the alignment should end; a station left out is NULL."""
+    found = _sections(spark, path)
+    r = spark.createDataFrame([(align_id, n, b, e) for b, n, e in found["Regions"]], "align_id string, region int, begin_sta double, end_sta double")
+    z = spark.createDataFrame([(align_id, x, y, s, n, a) for x, y, s, n, a in found["EndHA"][:1]], "align_id string, x double, y double, station double, region int, azimuth_deg double")
+    return r, z
+
+
 def read_profile_csv(spark: SparkSession, path: str, profile_id: int = 1) -> DataFrame:
     """VPIs (profile_id, station, elevation, vc_length); lines without numbers are skipped."""
     p = F.split("value", ",")

@@ -162,3 +162,46 @@ def test_grids_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = {(x + k % 6 + 0.5, 9.5 - k // 6): float(k) for x in (0, 100) for k in range(60) if (x, k) != (100, 7)}
     assert got == want
+
+
+def test_regions_and_end_of_an_alignment_file(spark, tmp_path):
+    """Sections in the file's own order, titles and blank lines between; an empty station; regions number the stations."""
+    from alidade.operators import alignment as al
+    from alidade.sources import texts
+
+    text = """StartHA:,,,,
+Northing,Easting,Station,Region,Azimuth
+10,20,500,1,90
+,,,,
+Elements:,,,,
+DegreeIn,Length,DegreeOut,TypeTag,
+0,30,0,,
+0,70,0,,
+,,,,
+9,9,9,,
+Regions:,,,,
+StartStation,RegionNo,EndStation,,
+,,,,
+1000,1,1040,,
+2000,2,2050,,
+,,,,
+Other:,,,,
+1,2,3,,
+EndHA:,,,,
+Northing,Easting,Station,Region,Azimuth
+110,20,,2,90
+"""
+    (tmp_path / "a.csv").write_text(text)
+    seg = al.chain(*texts.read_alignment_csv(spark, f"{tmp_path}/a.csv"))
+    regions, ends = texts.read_alignment_regions(spark, f"{tmp_path}/a.csv")
+    assert seg.count() == 2 and [tuple(r)[1:] for r in regions.orderBy("region").collect()] == [(1, 1000, 1040), (2, 2000, 2050)]
+    off = al.end_checks(seg, ends).first()
+    assert off.miss == pytest.approx(0, abs=1e-9) and off.azimuth_miss == pytest.approx(0, abs=1e-9) and off.station_miss is None
+    rows = spark.createDataFrame([("alignment", s) for s in (500.0, 539.0, 541.0, 595.0)], "align_id string, station double")
+    got = {r.station: (r.region, r.sta, r.extended) for r in al.region_stations(rows, seg, regions).collect()}
+    assert got == {500: (1, 1000, 0), 539: (1, 1039, 0), 541: (2, 2001, 0), 595: (2, 2050, 5)}
+    (tmp_path / "b.csv").write_text(text.replace("110,20,,2,90", "113,24,590,2,91").replace("1000,1,1040,,\n2000,2,2050,,\n", ""))
+    regions, ends = texts.read_alignment_regions(spark, f"{tmp_path}/b.csv")
+    off = al.end_checks(seg, ends).first()
+    assert regions.count() == 0 and (off.miss, off.azimuth_miss, off.station_miss) == pytest.approx((5, -1, 10))
+    assert {(r.region, r.sta) for r in al.region_stations(rows, seg, regions).collect()} == {(None, s) for s in (500, 539, 541, 595)}
