@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alidade.tables import written
+from alidade.tables import drop, written
 
 #: Hulls that one task merges.
 FAN = 16
@@ -133,8 +133,12 @@ def tree(points: DataFrame, reduce: Callable[[pd.DataFrame], pd.DataFrame], sche
             yield best
 
     parts = points.mapInPandas(local, schema).withColumn("k", F.spark_partition_id())
+    before = None
     while True:
         parts = written(parts, "hulls")
+        if before is not None:
+            drop(before)
+        before = parts
         n = parts.agg(F.max("k")).first()[0]
         if not n:
             return parts.drop("k")

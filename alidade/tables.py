@@ -23,4 +23,13 @@ def written(df: DataFrame, tag: str = "round") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_written"] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again, also not a plan that was not run yet."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.__dict__.pop("_written"))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,6 +32,7 @@ def main() -> None:
     tv = written(s.with_vertices(x.lattice_triangles(spark, SIDE), points))
     probes = spark.range(2_000_000).select(F.col("id").alias("qid"), (F.rand(1) * 4 * SIDE).alias("px"), (F.rand(2) * 4 * SIDE).alias("py"))
     cloud = x.cloud(spark, SF_DIR).withColumn("point_id", F.col("seq"))
+    spread = written(spark.range(60_000).select(F.col("id").alias("point_id"), F.rand(3).alias("x"), F.rand(4).alias("y")))
     none = spark.createDataFrame([], "point_id long")
     queries = {
         "q04_locate_2m": lambda: s.point_results(probes, tv),
@@ -40,6 +41,7 @@ def main() -> None:
         "g08_histogram": lambda: stats.histogram(s.point_measures(tv, none), "sparsity", 50),
         "p16_cut": lambda: profile.cut(tv, points, aq.route(spark), 8.0),
         "t03_delaunay": lambda: hull.delaunay(cloud.select("point_id", "x", "y", "z")),
+        "t03_levels_60k": lambda: hull.delaunay(spread, tile_points=10_000),
         "m07_random_thinning": lambda: decimate.kept(decimate.random_p(points, none, 0.5)),
         "p06_back_ahead": lambda: aq.Q["p06_back_ahead"](spark, SF_DIR),
         "a17_station_to_xy": lambda: aq.Q["a17_station_to_xy"](spark, SF_DIR),
