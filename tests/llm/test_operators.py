@@ -266,6 +266,39 @@ def test_similar_lines_by_length(spark, tmp_path):
     assert all(found[n] >= 27 for n in set(sizes)), found
 
 
+@pytest.mark.parametrize("n", [6, 10, 20, 40])
+def test_typing_errors(n, spark, tmp_path):
+    """Of 40 pairs of lines of n words with 8 % of their letters changed nine in ten are found at the least."""
+    rnd = random.Random(200 + n)
+    pairs = []
+    while len(pairs) < 40:
+        a = " ".join(invented(rnd, n))
+        b = list(a)
+        at = [i for i, c in enumerate(b) if c != " "]
+        for i in rnd.sample(at, round(0.08 * len(at))):
+            b[i] = rnd.choice("abcdefghijklmnoprstuvw")
+        b = "".join(b)
+        if a != b and 5 * edits(a, b) <= len(a):
+            pairs.append((a, b))
+    assert sum(removed_copies(spark, tmp_path, pairs)) >= 36
+
+
+def test_similar_lines_in_hot_blocks(spark, tmp_path):
+    """200 pairs that share nothing but two blocks of all 400 lines, three of six words in the middle changed."""
+    rnd = random.Random(13)
+    head, tail = invented(rnd, 3), invented(rnd, 3)
+    head, tail = [w + "ly" for w in head], [w + "on" for w in tail]
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(5))
+    pairs = []
+    while len(pairs) < 200:
+        a = [word() for _ in range(6)]
+        b = [word() if k % 2 else w for k, w in enumerate(a)]
+        a, b = (" ".join(head + m + tail) for m in (a, b))
+        if a != b and 5 * edits(a, b) <= max(len(a), len(b)):
+            pairs.append((a, b))
+    assert sum(removed_copies(spark, tmp_path, pairs)) >= 180
+
+
 def test_similar_short_lines(spark, tmp_path):
     rnd = random.Random(12)
     pairs = [("internationalisation", "internationalization"), ("abcde", "abxde"), ("harbour lights", "harbor lights"), ("eding enin", "eding in")]
