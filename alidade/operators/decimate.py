@@ -3,25 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alidade.functions.angles import rounded as R
 from alidade.operators import surface as s
+from alidade.operators.slices import slice_of, splitters
 from alidade.tables import written
 
 
-def numbered(rows: DataFrame, order: str, name: str = "place", cells: int = 1024) -> DataFrame:
-    """rows with a 0-based place in `order` (numeric, unique): numbered within slices of its range, in parallel."""
-    span = rows.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    r = rows.crossJoin(F.broadcast(span))  # one row
-    at, lo, hi = (F.col(c).cast("double") for c in (order, "__lo", "__hi"))  # as doubles, differences cannot overflow
-    share = F.coalesce(F.try_divide(at - lo, hi - lo) * cells, F.lit(0.0))
-    r = r.withColumn("__cell", F.least(F.floor(share), F.lit(cells - 1))).drop("__lo", "__hi")
+def numbered(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
+    """rows with a 0-based place in `order` (numeric, unique): numbered in parallel within slices of as many rows each."""
+    r = rows.withColumn("__cell", slice_of(F.col(order), splitters(rows, order)))
     n = r.groupBy("__cell").agg(F.count("*").alias("__n"))
     first = F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = F.broadcast(n.select("__cell", first.alias("__first")))  # at most `cells` rows
+    n = F.broadcast(n.select("__cell", first.alias("__first")))  # at most SLICES rows
     inside = F.row_number().over(Window.partitionBy("__cell").orderBy(order)) - 1
     return r.withColumn("__in", inside).join(n, "__cell").withColumn(name, F.col("__first") + F.col("__in")).drop("__cell", "__first", "__in")
 
@@ -29,12 +27,10 @@ def numbered(rows: DataFrame, order: str, name: str = "place", cells: int = 1024
 def placed(rows: DataFrame, order: str, then: list[str], name: str = "place") -> DataFrame:
     """rows with a 1-based place in `order` (without nulls), equal values by `then`: rows of a value, then values."""
     n = written(rows.groupBy(order).agg(F.count("*").alias("__n")).withColumn("__key", F.col(order).cast("double")))
-    span = n.agg(F.min("__key").alias("__lo"), F.max("__key").alias("__hi"))
-    cell = F.coalesce(F.floor(F.try_divide(F.col("__key") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 1023), F.lit(0))
-    n = n.crossJoin(F.broadcast(span)).withColumn("__cell", cell)  # one row
+    n = n.withColumn("__cell", slice_of(F.col("__key"), splitters(n, "__key")))
     up_to = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = n.groupBy("__cell").agg(F.sum("__n").alias("__n"))
-    cells = F.broadcast(cells.select("__cell", up_to(Window.orderBy("__cell")).alias("__first")))  # at most 1,024 rows
+    cells = F.broadcast(cells.select("__cell", up_to(Window.orderBy("__cell")).alias("__first")))  # at most SLICES rows
     before = n.withColumn("__in", up_to(Window.partitionBy("__cell").orderBy(order))).join(cells, "__cell")
     before = before.select(order, (F.col("__first") + F.col("__in")).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(order).orderBy(*then))
@@ -108,12 +104,15 @@ def random_p(points: DataFrame, hull: DataFrame, share: float) -> DataFrame:
     return points.join(on, "point_id", "left").crossJoin(F.broadcast(t)).withColumn("p", F.coalesce("__one", "__p")).drop("__one", "__p")
 
 
-def smart(points: DataFrame, tv: DataFrame, hull: DataFrame, share: float, split: float) -> DataFrame:
-    """(point_id, p): 1 on the hull and at picked sharp edges, reweighted scores elsewhere so that the mean meets the rest."""
+def smart(points: DataFrame, tv: DataFrame, hull: DataFrame, share: float, split: float, likelihood: Callable[[DataFrame], DataFrame] = scores) -> DataFrame:
+    """(point_id, p): 1 on the hull and at picked sharp edges, reweighted scores elsewhere so that the mean meets the rest.
+
+    likelihood makes (point_id, score from 0 to 1) of point measures; points that it leaves out have p = 0.
+    """
     picked = written(dihedral_pick(points, tv, hull, share, split))
     t = targets(points, hull, share).first()
     measures = s.point_measures(tv, hull)
-    pool = written(scores(measures).join(picked, "point_id", "left_anti"))
+    pool = written(likelihood(measures).join(picked, "point_id", "left_anti"))
     n = pool.count()
     left = max(0.0, min(1.0, (t["remaining"] - picked.count()) / n)) if n else 0.0
     factor = solve_factor(pool, left) if n else 1.0

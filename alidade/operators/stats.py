@@ -9,48 +9,44 @@ from pyspark.sql import functions as F
 
 from alidade.functions.angles import rounded as R
 from alidade.operators import surface as s
+from alidade.operators.slices import slice_of, splitters
+from alidade.tables import written
 
 
-#: Most rows that a model is fitted to: each candidate meets each of them.
-MOST_FITTED = 100_000
+#: Candidates of a fit that are broadcast: two numbers each.
+FEW_CANDIDATES = 100_000
 
 
 def xyz_stats(points: DataFrame) -> DataFrame:
     """Per axis: low, high, width, centre, mean and exact median.
 
-    The median is an order statistic over counted values, so that no task holds a column.
+    The medians are order statistics over counted values, all axes in one pass, so that no task holds a column.
     """
     rows = points.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in "xyz"])).alias("r")).select("r.*")
-    low, high = F.min("v"), F.max("v")
+    low, high, n = F.min("v"), F.max("v"), F.col("n")
     per = rows.groupBy("axis").agg(R(low).alias("low"), R(high).alias("high"), R(high - low).alias("width"), R((high + low) / 2).alias("centre"), R(F.avg("v")).alias("mean"))
-    n = F.col("n")
-    middle = None
-    for a in "xyz":
-        got = order_statistic(points, a, {"below": F.floor((n - 1) / 2), "above": F.floor(n / 2)})
-        one = got.select(F.lit(a).alias("axis"), R((F.col("below") + F.col("above")) / 2).alias("median"))
-        middle = one if middle is None else middle.union(one)
+    middle = order_statistic(rows, "v", {"below": F.floor((n - 1) / 2), "above": F.floor(n / 2)}, ["axis"])
+    middle = middle.select("axis", R((F.col("below") + F.col("above")) / 2).alias("median"))
     return per.join(F.broadcast(middle), "axis", "left")  # three rows
 
 
-def order_statistic(values: DataFrame, column: str, ranks: dict[str, Column]) -> DataFrame:
-    """One row: the values at 0-based ranks (expressions of n) in ascending order.
+def order_statistic(values: DataFrame, column: str, ranks: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each of a few keys `by`): n and the values at 0-based ranks (expressions of n), ascending.
 
     Distinct values are counted first, so the ordering window runs over (value, count) and not over rows; the counts
-    are summed in two levels (slices of the value range, then values in a slice), each in parallel.
+    are summed in two levels (slices of as many values each, then values in a slice), each in parallel.
     """
-    counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    cells = 1024
-    counts = counts.crossJoin(F.broadcast(span))  # one row
-    cell = F.least(F.floor(F.coalesce(F.try_divide((F.col("v") - F.col("lo")) * cells, F.col("hi") - F.col("lo")), F.lit(0.0))), F.lit(cells - 1))
-    counts = counts.withColumn("cell", cell)
-    per = counts.groupBy("cell").agg(F.sum("c").alias("m"))
-    first = F.coalesce(F.sum("m").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = F.broadcast(per.select("cell", first.alias("first")))  # at most 1024 rows
-    below = F.coalesce(F.sum("c").over(Window.partitionBy("cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.join(per, "cell").withColumn("below", below + F.col("first"))
+    by = by or []
+    counts = written(values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("c")))
+    counts = counts.withColumn("cell", slice_of(F.col("v"), splitters(counts, "v")))
+    per, before = counts.groupBy(*by, "cell").agg(F.sum("c").alias("m")), (Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("cell").rowsBetween(*before)), F.lit(0))
+    per = per.select(*by, "cell", first.alias("first"), F.sum("m").over(Window.partitionBy(*by)).alias("n"))
+    below = F.coalesce(F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(*before)), F.lit(0))
+    placed = counts.withColumn("below", below).join(F.broadcast(per), [*by, "cell"])  # SLICES rows a key at the most
+    placed = placed.withColumn("below", F.col("below") + F.col("first"))
     holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("c"))
-    return placed.agg(F.max("n").alias("n"), *[F.max(F.when(holds(r), F.col("v"))).alias(k) for k, r in ranks.items()])
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(holds(r), F.col("v"))).alias(k) for k, r in ranks.items()])
 
 
 def edge_stats(e: DataFrame) -> DataFrame:
@@ -116,13 +112,17 @@ def probability_bins(values: DataFrame, column: str, bins: int) -> DataFrame:
 def fit_errors(data: DataFrame, candidates: DataFrame, model: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """(a, b, error) per candidate: signed trapezoid area between model(x, a, b) and y over the range of x.
 
-    data (x, y) goes to every candidate, so it may have MOST_FITTED rows at the most (ValueError beyond).
+    Rows are put in order within slices of x, whose first rows follow the last one of the slice before; every row meets
+    every candidate where it lies, and sums are what is shuffled.
     """
-    if data.limit(MOST_FITTED + 1).count() > MOST_FITTED:
-        raise ValueError(f"a fit takes {MOST_FITTED} rows at the most")
-    w = Window.orderBy("x")
-    d = data.select("x", "y", F.coalesce(F.lag("x").over(w), F.lit(0.0)).alias("x0"), F.lag("y").over(w).alias("y0"))
-    rows = candidates.crossJoin(F.broadcast(d))
+    d = data.select("x", "y", slice_of(F.col("x"), splitters(data, "x")).alias("cell"))
+    ends = d.groupBy("cell").agg(F.max(F.struct("x", "y")).alias("end"))
+    ends = ends.select("cell", F.lag("end").over(Window.orderBy("cell")).alias("end"))
+    before = F.lag(F.struct("x", "y")).over(Window.partitionBy("cell").orderBy("x", "y"))
+    d = d.withColumn("before", before).join(F.broadcast(ends), "cell")  # at most SLICES rows
+    d = d.withColumn("before", F.coalesce("before", "end")).select("x", "y", F.coalesce("before.x", F.lit(0.0)).alias("x0"), F.col("before.y").alias("y0"))
+    few = candidates.limit(FEW_CANDIDATES + 1).count() <= FEW_CANDIDATES
+    rows = d.crossJoin(F.broadcast(candidates) if few else candidates)
     err = model(F.col("x"), F.col("a"), F.col("b")) - F.col("y")
     before = F.when(F.col("y0").isNull(), 0.0).otherwise(model(F.col("x0"), F.col("a"), F.col("b")) - F.col("y0"))
     dx = F.col("x") - F.col("x0")

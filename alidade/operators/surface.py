@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alidade.functions import vectors as v
 from alidade.functions.angles import math_angle
+from alidade.operators.components import components
 from alidade.tables import written
 
 THETA_MAX = math.radians(79.5)
@@ -159,35 +160,29 @@ def flawed(tv: DataFrame, theta=THETA_MAX, angle=ANGLE_MAX, dihedral=DIHEDRAL_MA
     return tv.withColumn("__steep", bad).join(d, "tri_id", "left").select("tri_id", (F.col("__steep") | F.coalesce(F.col("fold") > dihedral, F.lit(False))).alias("bad"))
 
 
-def reached(seeds: DataFrame, steps: DataFrame) -> DataFrame:
-    """All nodes reachable from seeds (node) by steps (node, next): a frontier per round, each round written."""
-    seen = written(seeds.distinct())
-    front = seen
-    while True:
-        ahead = front.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = written(ahead)
-        if front.isEmpty():
-            return seen
-        seen = written(seen.union(front))
+def reached(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """seeds (node) and all nodes that undirected links (a, b) join to them: rounds do not grow with the depth."""
+    named = written(components(links))
+    hit = named.join(seeds.distinct(), "node", "left_semi").select("root").distinct()
+    return named.join(hit, "root", "left_semi").select("node").union(seeds).distinct()
 
 
 def pruned(tv: DataFrame, **limits) -> DataFrame:
     """tri_id of the triangles taken off the hull: flawed border triangles and flawed ones reached through them."""
     bad = written(flawed(tv, **limits).where("bad").select("tri_id"))
-    e = edges(tv).where("tri_b is not null")
-    both = e.select(F.col("tri_a").alias("node"), F.col("tri_b").alias("next")).union(e.select("tri_b", "tri_a"))
-    steps = written(both.join(bad.select(F.col("tri_id").alias("next")), "next", "left_semi").select("node", "next"))
+    links = edges(tv).where("tri_b is not null").select(F.col("tri_a").alias("a"), F.col("tri_b").alias("b"))
+    for end in "ab":
+        links = links.join(bad.select(F.col("tri_id").alias(end)), end, "left_semi")
     seeds = exterior(tv).join(bad, "tri_id", "left_semi").select(F.col("tri_id").alias("node"))
-    return reached(seeds, steps).select(F.col("node").alias("tri_id"))
+    return reached(seeds, links).select(F.col("node").alias("tri_id"))
 
 
 def dissolved(tv: DataFrame, points: DataFrame, longest: float, where: Column | None = None) -> DataFrame:
     """tri_id of triangles taken off from outside through edges longer than `longest` (and meeting `where`)."""
     e = edge_lengths(edges(tv), points).where((F.col("len2d") > longest) & (F.lit(True) if where is None else where))
-    inner = e.where("tri_b is not null")
-    steps = written(inner.select(F.col("tri_a").alias("node"), F.col("tri_b").alias("next")).union(inner.select("tri_b", "tri_a")))
+    links = e.where("tri_b is not null").select(F.col("tri_a").alias("a"), F.col("tri_b").alias("b"))
     seeds = e.where("tri_b is null").select(F.col("tri_a").alias("node"))
-    return reached(seeds, steps).select(F.col("node").alias("tri_id"))
+    return reached(seeds, links).select(F.col("node").alias("tri_id"))
 
 
 def marked(triangles: DataFrame, gone: DataFrame) -> DataFrame:

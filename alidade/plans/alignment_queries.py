@@ -392,25 +392,26 @@ def _p17(spark, d):
 # --- fits --------------------------------------------------------------------------------------------------------
 
 
-def _fit_data(spark):
-    return spark.range(21).select((F.col("id") * 0.5).alias("x"), (F.col("id") * F.col("id") * 0.25 + (F.col("id") % 3) * 0.5).alias("y"))
+def _fit_data(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select((F.col("l_extendedprice").cast("double") / 10000).alias("x"), F.col("l_quantity").cast("double").alias("y"))
 
 
-_FD = "fd AS (SELECT i*0.5::DOUBLE AS x, i*i*0.25::DOUBLE+(i%3)*0.5::DOUBLE AS y FROM range(21) r(i)), fl AS (SELECT *, coalesce(lag(x) OVER (ORDER BY x),0) AS xp, lag(y) OVER (ORDER BY x) AS yp FROM fd)"
+_FD = "fd AS (SELECT l_extendedprice::DOUBLE/10000 AS x, l_quantity::DOUBLE AS y FROM lineitem), fl AS (SELECT *, coalesce(lag(x) OVER (ORDER BY x, y),0) AS xp, lag(y) OVER (ORDER BY x, y) AS yp FROM fd)"
 _FE = "sum((x-xp)*(a*x+b*x*x-y+CASE WHEN yp IS NULL THEN 0 ELSE a*xp+b*xp*xp-yp END)/2)/sum(x-xp)"
 
 
 @add("g13_fit_error", f"WITH {_FD}, c AS (SELECT i*0.25::DOUBLE AS a, j*0.5::DOUBLE AS b FROM range(5) r(i), range(5) q(j)) SELECT a, b, {r6(_FE)} AS error FROM fl, c GROUP BY a, b")
 def _g13(spark, d):
     model = lambda x_, p, q: p * x_ + q * x_ * x_
-    e = stats.fit_errors(_fit_data(spark), stats.fit_grid(spark, (0.0, 1.0), (0.0, 2.0), 5), model)
+    e = stats.fit_errors(_fit_data(spark, d), stats.fit_grid(spark, (0.0, 1.0), (0.0, 2.0), 5), model)
     return e.select("a", "b", R(F.col("error")).alias("error"))
 
 
 @add("g14_fit_level", f"WITH {_FD}, c AS (SELECT i*0.125::DOUBLE AS a, j*0.125::DOUBLE AS b FROM range(9) r(i), range(9) q(j)), e AS (SELECT a, b, {_FE} AS error FROM fl, c GROUP BY a, b) SELECT a, b, {r6('error')} AS error FROM e ORDER BY abs(error), a, b LIMIT 1")
 def _g14(spark, d):
     model = lambda x_, p, q: p * x_ + q * x_ * x_
-    return stats.fit_best(stats.fit_errors(_fit_data(spark), stats.fit_grid(spark, (0.0, 1.0), (0.0, 1.0), 9), model)).select("a", "b", R(F.col("error")).alias("error"))
+    return stats.fit_best(stats.fit_errors(_fit_data(spark, d), stats.fit_grid(spark, (0.0, 1.0), (0.0, 1.0), 9), model)).select("a", "b", R(F.col("error")).alias("error"))
 
 
 # --- rays, arcs by centre, pieces, editing, text sinks ---------------------------------------------------------------

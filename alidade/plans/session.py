@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import shutil
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -104,6 +105,8 @@ class Session:
     segments: DataFrame | None = None
     regions: DataFrame | None = None
     stats_path: str | None = None
+    #: What `decimate` makes likelihoods of, from point measures.
+    likelihood: Callable[[DataFrame], DataFrame] = decimate.scores
     grid_spacing: float | None = None
     zero: bool = False
     done: bool = False
@@ -269,7 +272,7 @@ class Session:
         """-sN is the share that folds decide, -xN thins N times with other draws."""
         f = self._main()
         split = next((float(x[2:]) for x in flags if x.startswith("-s")), 0.5)
-        p = decimate.smart(f.points, f.tv, s.hull_points(f.tv.withColumn("is_valid", F.lit(True))), float(share), split)
+        p = decimate.smart(f.points, f.tv, s.hull_points(f.tv.withColumn("is_valid", F.lit(True))), float(share), split, self.likelihood)
         for k in range(_times(flags)):
             self._thin(p, k + 1)
 
