@@ -79,6 +79,7 @@ def test_a_long_chain_in_few_rounds(spark, monkeypatch):
 def test_a_likelihood_of_the_callers(spark, sf_dir):
     """Any table of scores from measures steers the thinning: all points the same here, and the mean meets the share."""
     p, tv = x.lattice(spark, sf_dir)
+    tv = tv.withColumn("is_valid", F.lit(True))
     hull = s.hull_points(tv)
     even = lambda measures: measures.select("point_id", F.lit(0.5).alias("score"))
     rows = decimate.smart(p, tv, hull, 0.6, 0.3, even).collect()
