@@ -107,12 +107,13 @@ def random_p(points: DataFrame, hull: DataFrame, share: float) -> DataFrame:
 def smart(points: DataFrame, tv: DataFrame, hull: DataFrame, share: float, split: float, likelihood: Callable[[DataFrame], DataFrame] = scores) -> DataFrame:
     """(point_id, p): 1 on the hull and at picked sharp edges, reweighted scores elsewhere so that the mean meets the rest.
 
-    likelihood makes (point_id, score from 0 to 1) of point measures; points that it leaves out have p = 0.
+    likelihood makes (point_id, score from 0 to 1) of point measures; points that it leaves out have p = 0,
+    scores of hull points and picked ones are not used.
     """
     picked = written(dihedral_pick(points, tv, hull, share, split))
     t = targets(points, hull, share).first()
     measures = s.point_measures(tv, hull)
-    pool = written(likelihood(measures).join(picked, "point_id", "left_anti"))
+    pool = written(likelihood(measures).join(picked.union(hull.select("point_id")), "point_id", "left_anti"))
     n = pool.count()
     left = max(0.0, min(1.0, (t["remaining"] - picked.count()) / n)) if n else 0.0
     factor = solve_factor(pool, left) if n else 1.0
